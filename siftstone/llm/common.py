@@ -131,4 +131,5 @@ def sha(data) -> str:
 
 
 def span_columns(found: list[tuple[int, int, int]], names) -> str:
+    """``kind:start:end`` of (start, kind, end), by start, then kind."""
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(found))

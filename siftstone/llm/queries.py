@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import documents
 from .media import media_digest
+from .secrets import secret_digest
 
 
 def op1_progressive_jpeg(spark, sf_dir):
@@ -11,8 +12,14 @@ def op1_progressive_jpeg(spark, sf_dir):
     return media_digest(documents(spark, sf_dir))
 
 
+def op3_secrets(spark, sf_dir):
+    """Secrets of every document."""
+    return secret_digest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
+    "op3_secrets": op3_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
