@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import documents
 from .media import media_digest
+from .packing import pack
 from .secrets import secret_digest
 
 
@@ -17,9 +18,15 @@ def op3_secrets(spark, sf_dir):
     return secret_digest(documents(spark, sf_dir))
 
 
+def op5_packing(spark, sf_dir):
+    """All documents as power-of-two sequences."""
+    return pack(documents(spark, sf_dir), with_ids=False)
+
+
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op3_secrets": op3_secrets,
+    "op5_packing": op5_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
