@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .common import documents
 from .media import media_digest
 from .packing import pack
@@ -27,6 +28,9 @@ QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op3_secrets": op3_secrets,
     "op5_packing": op5_packing,
+    "op9_mixing": mixing.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": mixing.SQL,
+}
