@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing
 from .common import documents
+from .langid import predict_languages
 from .media import media_digest
 from .packing import pack
 from .secrets import secret_digest
@@ -24,13 +25,20 @@ def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op6_language_id(spark, sf_dir):
+    """The language of every document."""
+    return predict_languages(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op3_secrets": op3_secrets,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op9_mixing": mixing.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_language_id": op6_language_id,
     "op9_mixing": mixing.SQL,
 }
