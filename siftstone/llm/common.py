@@ -93,11 +93,17 @@ def powers(n: int, base: int = _P) -> np.ndarray:
     return have[:n]
 
 
-def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for each range: a polynomial by prefix sums."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * powers(len(values)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(len(values) + 1, _IP)[starts]
+    return total
+
+
+def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of values[start:end] for each range: a polynomial by prefix sums."""
+    if total is None:
+        total = prefix_sums(values)
+    h = (total[ends] - total[starts]) * powers(len(total), _IP)[starts]
     return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 

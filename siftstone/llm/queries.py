@@ -8,6 +8,7 @@ from .langid import predict_languages
 from .media import media_digest
 from .packing import pack
 from .secrets import secret_digest
+from .toxicity import score_documents
 
 
 def op1_progressive_jpeg(spark, sf_dir):
@@ -30,12 +31,18 @@ def op6_language_id(spark, sf_dir):
     return predict_languages(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark, sf_dir):
+    """The toxicity of every document."""
+    return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op3_secrets": op3_secrets,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op9_mixing": mixing.op9,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
