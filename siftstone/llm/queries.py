@@ -6,6 +6,7 @@ from . import mixing
 from .common import documents
 from .langid import predict_languages
 from .media import media_digest
+from .omh import fingerprint_edits
 from .packing import pack
 from .secrets import secret_digest
 from .toxicity import score_documents
@@ -16,6 +17,11 @@ def op1_progressive_jpeg(spark, sf_dir):
     return media_digest(documents(spark, sf_dir))
 
 
+def op2_order_minhash(spark, sf_dir):
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op3_secrets(spark, sf_dir):
     """Secrets of every document."""
     return secret_digest(documents(spark, sf_dir))
@@ -38,6 +44,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
+    "op2_order_minhash": op2_order_minhash,
     "op3_secrets": op3_secrets,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
