@@ -17,6 +17,7 @@ every text has the share of toxic labels (0 if there are none).
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, flat, mix, prefix_sums, ranges_hash, text_array
 from .langid import held_out
 
-SAMPLE = 2500
+SAMPLE = 1500
 STEPS, CUT, RATE, G_LEAST, L2 = 40, 256, 0.5, 25.0, 1e-4
 SLOTS = 1 << 19
 _LETTER = np.zeros(256, bool)
@@ -162,7 +163,7 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
         return fit([texts[i] for i in own], [toxic[i] for i in own], weight)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     keys, at = np.unique(feats, return_inverse=True)
-    at = at.reshape(feats.shape)
+    at = at.reshape(feats.shape).astype(np.int32)
     pair = np.unique((at.astype(np.int64) * len(texts) + doc).reshape(-1))
     k, d = np.divmod(pair, len(texts))
     a = np.bincount(k[y[d]], minlength=len(keys)).astype(float)
@@ -172,7 +173,7 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     tag = (telling[at].any(0) & y[doc]).astype(float)
     # features of a single document or two say little
     used = a + b >= 3
-    dense = np.where(used, np.cumsum(used) - 1, -1)[at]
+    dense = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)[at]
     w, bias, trans = np.zeros(int(used.sum())), -5.0, np.zeros((2, 2))
     there = dense >= 0
     index = dense[there]
@@ -185,9 +186,7 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     np.add.at(seen_trans, (tag[prev].astype(int), tag[prev + 1].astype(int)), 1)
     gw, gb, gt = np.full(len(w), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(STEPS if len(tag) else 0):
-        s = np.zeros(dense.shape)
-        s[there] = w[index]
-        e = np.exp(np.clip(s.sum(0) + bias, -30, 30))
+        e = np.exp(np.clip(np.append(w, 0.0)[dense].sum(0) + bias, -30, 30))
         f, q = messages(e, cuts, trans)
         m = f * q / (1 + f * q)
         t = np.exp(trans)
@@ -233,13 +232,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(score=np.array([100 * share - 50, 0.0, 0.0]))
     order = [F.md5(F.col("doc_id").cast("string")), "doc_id"]
     picked = lab.where("toxic = 0").orderBy(*order).limit(sample).union(lab.where("toxic = 1").orderBy(*order).limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # at most 2 * sample rows of labels
-    rows = sorted({(r.doc_id, r.text or "", r.toxic) for r in rows})
-    n = {k: max(1, sum(r[2] == k for r in rows)) for k in (0, 1)}
-    if not all(any(r[2] == k for r in rows) for k in (0, 1)):
-        share = count[1] / (count[0] + count[1])
-        return Model(score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
-    return fit([r[1] for r in rows], [r[2] for r in rows], {k: count[k] / n[k] for k in (0, 1)})
+    share = count[1] / (count[0] + count[1])
+
+    def run(batches):
+        rows = {(i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns))}
+        rows = sorted(rows)
+        n = [sum(r[2] == k for r in rows) for k in (0, 1)]
+        if all(n):
+            model = fit([r[1] for r in rows], [r[2] for r in rows], {k: count[k] / n[k] for k in (0, 1)})
+        else:  # labels of a class belong to no document
+            model = Model(score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # at most 2 * sample rows, fitted in one task to spare the driver
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else Model(score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
 
 
 def _spans(p: np.ndarray, s, e, first, points, off) -> list[str]:
