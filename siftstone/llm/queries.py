@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, ngram_join
 from .common import documents
 from .langid import predict_languages
 from .media import media_digest
@@ -46,6 +46,7 @@ QUERIES = {
     "op1_progressive_jpeg": op1_progressive_jpeg,
     "op2_order_minhash": op2_order_minhash,
     "op3_secrets": op3_secrets,
+    "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op9_mixing": mixing.op9,
@@ -54,5 +55,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_language_id": op6_language_id,
+    "op4_ngram_jaccard_join": ngram_join.SQL,
     "op9_mixing": mixing.SQL,
 }
