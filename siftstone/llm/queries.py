@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, substring_dedup
+from . import mixing, ngram_join, pii, substring_dedup
 from .common import documents
 from .langid import predict_languages
 from .media import media_digest
@@ -49,6 +49,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": ngram_join.op4,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_pii": pii.op7,
     "op8_substring_dedup": substring_dedup.op8,
     "op9_mixing": mixing.op9,
     "op10_toxicity": op10_toxicity,
