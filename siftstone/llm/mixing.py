@@ -47,8 +47,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, drif
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """(id, size, source_size, target, taken, position) for every row; position is its first
-    copy's, null if nothing is taken. Internal: before, drift."""
+    """(id, source, size, source_size, target, taken, position) for every row; position is its first
+    copy's, null if nothing is taken. For copies: before, drift."""
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = saved(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h")))
@@ -60,7 +60,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.select(*key, "id", "size", "h").join(sums, ["no_source", "source", "bin"])
     rows = rows.withColumn("before", F.col("bins_before") + F.coalesce(F.sum("size").over(w), F.lit(0)))
     rows = rows.withColumn("taken", words_of_copy(0) + words_of_copy(1))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, position(0)).alias("position"), "before", "drift")
+    source = F.when(~F.col("no_source"), F.col("source")).alias("source")
+    return rows.select(F.col("id").alias(id_col), source, "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, position(0)).alias("position"), "before", "drift")
 
 
 def words_of_copy(copy: int) -> Column:
@@ -84,9 +85,24 @@ def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return c.repartitionByRange(F.col("position"), F.col(id_col)).sortWithinPartitions("position", id_col)
 
 
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``: a document once for each copy taken, the copy that
+    the target cuts with its first words alone. Rows of one id are told apart by source and size."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(source_col, "__size", text_col)))
+    m = mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **how)
+    m = m.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), "size", F.array(words_of_copy(0), words_of_copy(1)).alias("__words"))
+    m = m.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy("__source", "size", F.element_at("__words", 1).desc(), F.element_at("__words", 2).desc())))
+    rows = own.join(m.withColumnRenamed("__nth", "__mth"), own[id_col].eqNullSafe(F.col("__id")) & (F.col("__nth") == F.col("__mth")))
+    rows = rows.withColumn("__copy", F.explode(F.filter("__words", lambda x: x > 0)))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), 1), 1, F.col("__copy").cast("int")), " ")
+    text = F.when(F.col("__copy") == F.col("__size"), F.col(text_col)).otherwise(cut)
+    return rows.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
 def op9(spark, sf_dir):
     """All documents, mixed."""
-    return mix(documents(spark, sf_dir)).drop("before", "drift")
+    return mix(documents(spark, sf_dir)).drop("source", "before", "drift")
 
 
 SQL = r"""

@@ -289,6 +289,20 @@ def score_toxicity(df: DataFrame, model: Model, keep: list[str], text_col: str =
     return src.mapInArrow(run, f"{kept}, score double, predicted int, spans string")
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text isn't predicted toxic, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for b, _, data, off in chunks(batches, text_col, 4 << 20):
+            feats, _, _, first = tokens(data, off)
+            p = model.marginals(feats, first) if first[-1] else np.zeros(0)
+            yield b.filter(pa.array(model.document(p, first) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of all documents."""
     marked = docs.select("doc_id", "text", held_out(docs, 0, 5).alias("held_out"))
