@@ -3,12 +3,12 @@
 A text's set is that of its runs of three words (all its words if fewer). Its forest label in
 each of ``TREES`` tries is a sequence of MinHash values; texts below one trie node share a prefix.
 Prefixes start at ``DEPTH`` values and are shortened until pairs at the threshold share one in
-some trie with the target probability; the node's members are candidates, each pair in the first
-trie that joins it alone, and are verified on their whole sets.
+some trie with the target probability; a node's members are candidates. Nodes that share members are
+one group, all of whose pairs are verified on their whole sets.
 
-Equal texts are one class and are compared once. A crowded node is cut into blocks of hashed
-members, every two blocks meeting in a task of their own, so no node is gathered whole and none is
-capped. Null is the empty text; texts without words link to nothing (equal ones are one class).
+Equal texts are one class and are compared once. A group is cut into blocks of hashed members,
+every two blocks meeting in a task of their own by a matrix product, so no group is gathered whole,
+none is capped, and pairs are counted where they are found instead of being sent. Null is the empty text; texts without words link to nothing (equal ones are one class).
 Repeated rows are copies; a class of null ids alone has a null id.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components, saved
 from .common import U64, chunks, documents, mix, ranges_hash, word_hashes
 
-N, THRESHOLD, RECALL, TREES, DEPTH, BLOCK = 3, 0.5, 0.99, 40, 8, 64
+N, THRESHOLD, RECALL, TREES, DEPTH, BLOCK = 3, 0.5, 0.99, 40, 8, 512
 
 
 def depth_for(threshold: float, recall: float, trees: int = TREES, deepest: int = DEPTH) -> int:
@@ -70,79 +70,109 @@ def _labels(keyed: DataFrame, depth: int, n: int) -> DataFrame:
     return keyed.mapInArrow(run, f"key binary, id {keyed.schema['id'].dataType.simpleString()}, labels array<int>")
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(a, b) keys, a < b, of pairs that share a label, once each."""
-    rows = texts.select("key", "labels", F.posexplode("labels").alias("tree", "label"))
-    crowd = rows.groupBy("tree", "label").count().where("count > 1")
-    met = rows.join(crowd, ["tree", "label"]).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = met.groupBy("tree", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("own", "key", "labels")).alias("m"))
+def _groups(texts: DataFrame) -> DataFrame:
+    """(key, group, count) of the texts that trie nodes connect with others; group is a number.
+
+    A node is a star around one member, so it takes a row for each member, however many pairs it has.
+    """
+    rows = texts.select(F.xxhash64("key").alias("h"), F.posexplode("labels").alias("tree", "label"))
+    hubs = rows.groupBy("tree", "label").agg(F.min("h").alias("hub"), F.max("h").alias("last")).where("hub < last").drop("last")
+    edges = rows.join(hubs, ["tree", "label"]).where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct()
+    group = components(edges).select(F.col("node").alias("h"), F.col("label").alias("group"))
+    group = group.join(group.groupBy("group").count(), "group")
+    return saved(texts.select("key", F.xxhash64("key").alias("h")).join(group, "h").drop("h"))
 
-    def run(batches):
-        for b in batches:
-            a_out, b_out = [], []
-            for tree, lo, hi, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                m = m.values
-                own, keys = np.array(m.field("own")), m.field("key").to_pylist()
-                labels = np.array(m.field("labels").flatten()).reshape(len(keys), TREES)[:, : tree + 1]
-                left = np.flatnonzero(own == lo)
-                for i in left.tolist():
-                    # earlier tries that join the pair have it already
-                    others = np.arange(i + 1, len(keys)) if lo == hi else np.flatnonzero(own == hi)
-                    fresh = others[~(labels[others, :tree] == labels[i, :tree]).any(1)]
-                    for j in fresh.tolist():
-                        x, y = sorted((keys[i], keys[j]))
-                        a_out.append(x)
-                        b_out.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
-
-    return blocks.select("tree", "lo", "hi", "m").mapInArrow(run, "a binary, b binary")
-
-
-def _verified(pairs: DataFrame, keyed: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(a, b, jaccard) of the pairs at or above the threshold."""
-    wanted = pairs.select(F.col("a").alias("__key")).union(pairs.select("b")).distinct()
-    texts = keyed.select("__key", "__text").join(wanted, "__key", "left_semi").groupBy("__key").agg(F.first("__text").alias("text"))
+
+def _verified(texts: DataFrame, keyed: DataFrame, threshold: float, n: int, pairs: bool) -> DataFrame:
+    """Compares the whole sets of every two texts of a group, block by block, each two blocks in a task of
+    their own. Gives (a, b, jaccard) of the links, or without ``pairs`` (key, n_links, root), which has a row for
+    every linked text of a block and no pairs: its links there, and the root of its component there."""
+    group = _groups(texts)
+    own = keyed.select(F.col("__key").alias("key"), "__text").join(group.select("key"), "key", "left_semi").groupBy("key").agg(F.first("__text").alias("text"))
 
     def sets(batches):
         for b, _, data, off in chunks(batches):
             h, begin = shingles(data, off, n)
-            own = [np.unique(h[i:j]).tobytes() for i, j in zip(begin[:-1], begin[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["key", "grams"])
-
-    grams = saved(texts.mapInArrow(sets, "key binary, grams binary"))
-    both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-
-    def run(batches):
-        for batch in batches:
-            j = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                j.append(same / (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j, pa.float64())], ["a", "b", "jaccard"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, jaccard double").where(F.col("jaccard") >= threshold)
+            sets = [np.unique(h[i:j]).tobytes() for i, j in zip(begin[:-1], begin[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "grams"])
+
+    m = own.mapInArrow(sets, "key binary, grams binary").join(group, "key").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    m = m.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "grams")
+
+    def verify(rows):
+        first, second = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        side = rows.column("own").to_numpy()
+        keys = rows.column("key").to_pylist()
+        sets = [np.frombuffer(g.as_buffer(), U64) for g in rows.column("grams")]
+        size = np.array([len(g) for g in sets], np.float64)
+        every, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        shared = times > 1  # the others meet nothing here
+        doc, at = doc[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+        every = every[shared]
+        order = np.argsort(at, kind="stable")
+        at, doc = at[order], doc[order]
+        same = np.zeros((len(sets), len(sets)), np.float64)
+        for lo in range(0, len(every), 4096):
+            i, j = np.searchsorted(at, (lo, lo + 4096))
+            c = np.zeros((len(sets), min(4096, len(every) - lo)), np.float32)
+            c[doc[i:j], at[i:j] - lo] = 1
+            same += c @ c.T
+        jac = same / (size[:, None] + size[None, :] - same)
+        link = np.triu(jac >= threshold, 1)
+        if first != second:
+            link &= side[:, None] != side[None, :]
+        x, y = np.nonzero(link)
+        if pairs:
+            out = [sorted((keys[i], keys[j])) + [float(jac[i, j])] for i, j in zip(x.tolist(), y.tolist())]
+            kinds = (("a", pa.binary()), ("b", pa.binary()), ("jaccard", pa.float64()))
+        else:
+            parent = list(range(len(keys)))
+
+            def find(i):
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            for i, j in zip(x.tolist(), y.tolist()):
+                i, j = find(i), find(j)
+                parent[max(i, j)] = min(i, j)
+            count = (link.sum(0) + link.sum(1)).tolist()
+            out = [(keys[i], k, keys[find(i)]) for i, k in enumerate(count) if k]
+            kinds = (("key", pa.binary()), ("n_links", pa.int64()), ("root", pa.binary()))
+        cols = zip(*out) if out else ((), (), ())
+        return pa.Table.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds)], [k for k, _ in kinds])
+
+    schema = "a binary, b binary, jaccard double" if pairs else "key binary, n_links long, root binary"
+    return saved(m.groupBy("group", "lo", "hi").applyInArrow(verify, schema))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, n: int):
+    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t")
+    labels = _labels(keyed.select(F.col("__key").alias("key"), "id", "__text"), depth_for(threshold, recall), n)
+    return saved(labels.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))), keyed
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = N):
     """(links, texts): links (a, b, jaccard) between keys of different texts, and texts (key, id, copies),
-    one row per distinct text with its least id. Keys are the texts' MD5."""
-    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t")
-    labels = _labels(keyed.select(F.col("__key").alias("key"), "id", "__text"), depth_for(threshold, recall), n)
-    texts = saved(labels.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels")))
-    pairs = saved(_candidates(texts))
-    return saved(_verified(pairs, keyed, threshold, n)), texts.drop("labels")
+    one row per distinct text with its least id. Keys are the texts' MD5. Links are as many as the data
+    have; ``classes`` counts them without making a row of each."""
+    texts, keyed = _texts(docs, id_col, text_col, threshold, recall, n)
+    return _verified(texts, keyed, threshold, n, True), texts.drop("labels")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, n: int = N) -> DataFrame:
     """One row per distinct text: (key, id, copies, n_links, class_key): the number of other texts linked
     to it, and the least key of the texts that links connect it with."""
-    links, texts = jaccard_join(docs, id_col, text_col, **how)
-    ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(links).select(F.col("node").alias("key"), F.col("label").alias("class_key"))
-    return texts.join(ends.join(found, "key"), "key", "left").select("key", "id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_key", "key").alias("class_key"))
+    texts, keyed = _texts(docs, id_col, text_col, threshold, recall, n)
+    linked = _verified(texts, keyed, threshold, n, False)
+    ends = linked.groupBy("key").agg(F.sum("n_links").alias("n_links"))
+    found = components(linked.where("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b")).distinct())
+    found = found.select(F.col("node").alias("key"), F.col("label").alias("class_key"))
+    out = texts.drop("labels").join(ends.join(found, "key"), "key", "left")
+    return out.select("key", "id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_key", "key").alias("class_key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -155,6 +185,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _keyed(docs.select("doc_id", "text"), "text").select("doc_id", "__key").join(found, "__key").drop("__key")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of every class: that of the least id (null last), then of the least key and row."""
+    found = classes(docs, id_col, text_col, **how)
+    best = found.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")).select(F.col("best.key").alias("__key"))
+    row = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("first"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    m = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = docs.select(m.alias("__key"), row.alias("__row")).groupBy("__key").agg(F.min("__row").alias("__row"))
+    return rows.join(best, "__key", "left_semi").select("__row.row.*")
+
+
 def op4(spark, sf_dir):
     """Near duplicates among all documents."""
     return near_duplicates(documents(spark, sf_dir))
