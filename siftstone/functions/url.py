@@ -66,6 +66,14 @@ def normalize_url(url: str | None) -> str | None:
     return out.rstrip("/").replace("://www.", "://", 1)
 
 
+def report(url: str) -> dict:
+    """The URL, its normal form and its key; not a URL is an error."""
+    normal = normalize_url(url)
+    if normal is None:
+        raise ValueError("Could not parse URL")
+    return {"original": url, "normalized": normal, "canonical_key": re.sub("^https?://", "", normal)}
+
+
 @F.pandas_udf(T.StringType())
 def _udf(urls: pd.Series) -> pd.Series:
     return urls.map(normalize_url)

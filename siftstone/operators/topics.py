@@ -105,3 +105,13 @@ def topics(df: DataFrame, field: str = "content", topics: int = 5, terms: int =
         best = sorted(range(len(words)), key=lambda j: (-h[t, j], j))[:terms]
         out.append((t, ", ".join(words[j] for j in best[:3]), sizes.get(t, 0), [(words[j], float(h[t, j])) for j in best]))
     return spark.createDataFrame(out, "id int, label string, size long, terms array<struct<term:string,weight:double>>"), assigned
+
+
+def report(df: DataFrame, field: str = "content", id_col: str = "row_idx", **params) -> dict:
+    """The nested report of a result small enough for the driver."""
+    found, assigned = topics(df, field, id_col=id_col, **params)
+    rows = sorted((r[0], r.topic) for r in assigned.collect())
+    out = []
+    for t in found.orderBy("id").collect():
+        out.append({"id": t.id, "label": t.label, "size": t.size, "terms": [{"term": x.term, "weight": x.weight} for x in t.terms], "members": [i for i, k in rows if k == t.id]})
+    return {"num_topics": len(out), "num_items": len(rows), "topics": out, "assignments": [{"item": i, "topic": k} for i, k in rows]}

@@ -285,23 +285,23 @@ def minhash_lsh_candidates(spark, sf_dir):
     return dedup.minhash_candidates(minhash_signatures(spark, sf_dir), "doc_id")
 
 
-@query(
-    "cosine_pairs",
-    """WITH docs AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS term FROM part WHERE p_partkey <= 200), tf AS (SELECT id, term, count(*)::DOUBLE AS weight FROM docs GROUP BY ALL),
-u AS (SELECT id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS u FROM tf) SELECT x.id AS a, y.id AS b, round(1 - sum(x.u * y.u), 9) AS distance FROM u x JOIN u y ON x.term = y.term AND x.id < y.id GROUP BY ALL""",
-)
+_ITEMS = f"documents AS (SELECT item_id AS doc_id, text FROM benchmark), {_TFIDF}"
+
+
+def _items(spark, sf_dir, id_col):
+    """The benchmark's items: a whole table small enough to cluster exactly."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(id_col), "text")
+
+
+@query("cosine_pairs", f"WITH {_ITEMS}, u AS (SELECT doc_id, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS u FROM w) SELECT x.doc_id AS a, y.doc_id AS b, round(1 - sum(x.u * y.u), 9) AS distance FROM u x JOIN u y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY ALL")
 def cosine_pairs(spark, sf_dir):
-    """Distances are the input of clustering, which is bounded; parts of the lowest keys stand for a sample."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
-    w = p.groupBy("p_partkey", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return cluster.cosine_pairs(w, "p_partkey").select("a", "b", F.round("distance", 9).alias("distance"))
+    w = corpus.tfidf(_items(spark, sf_dir, "doc_id"), "doc_id", "text")
+    return cluster.cosine_pairs(w, "doc_id").select("a", "b", F.round("distance", 9).alias("distance"))
 
 
 @query("generate_ward")
 def generate_ward(spark, sf_dir):
-    """Supplier and nation names as a small table that clusters exactly."""
-    d = sample.sample(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_idx"), 200)
-    r = cluster.generate(d, "text")
+    r = cluster.generate(_items(spark, sf_dir, "row_idx"), "text")
     return spark.createDataFrame([(c["id"], c["label"], c["size"]) for c in r["categories"]], "id int, label string, size int")
 
 

@@ -76,3 +76,6 @@ def test_urls(spark):
     assert got == list(URLS.values()) == [url.normalize_url(u) for u in URLS]
     assert column(spark, url.normalized, got) == got
     assert column(spark, url.canonical_key, ["https://www.example.com/path?a=1"]) == ["example.com/path?a=1"]
+    assert url.report("https://www.a.com/x/") == {"original": "https://www.a.com/x/", "normalized": "https://a.com/x", "canonical_key": "a.com/x"}
+    with pytest.raises(ValueError, match="Could not parse URL"):
+        url.report("not a url at all")

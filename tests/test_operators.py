@@ -165,6 +165,8 @@ def test_generate_discover_topics(spark):
         found.append({r.row_idx: r.topic for r in a.collect()})
         assert sum(r["size"] for r in t.collect()) == 12
     assert found[0] == found[1]
+    r = topics.report(df, topics=3, iterations=8)
+    assert r["num_items"] == 12 and sorted(i for t in r["topics"] for i in t["members"]) == list(range(12))
     v = np.array([[2, 1, 0, 0], [1, 2, 0, 0], [0, 0, 2, 1], [0, 0, 1, 2.0]])
     d = topics.dominant(topics.nmf(v, 2)[0])
     assert d[0] == d[1] != d[2] == d[3] and topics.dominant(np.zeros((1, 3)))[0] == 2
