@@ -56,7 +56,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_language_id": op6_language_id,
     "op4_ngram_jaccard_join": ngram_join.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op9_mixing": mixing.SQL,
