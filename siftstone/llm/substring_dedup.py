@@ -9,8 +9,8 @@ level, the rest is empty.
 
 Texts are known by 96 bits of their MD5 and windows by 96 bits. Equal texts are one row with a
 number of copies. Counts are partly summed before each shuffle; a hot passage's rows meet its one
-count in a join that may be split. Text is shuffled once, in the last query, whose two uses share
-it. Null text has no words; repeated rows are copies of each other.
+count in a join that may be split. All texts are shuffled once, to the first level's survivors; later
+steps have the texts alone in which something survived. Null text has no words; repeated rows are copies of each other.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import saved
-from .common import U64, chunks, documents, mix, ranges_hash, sha, word_hashes
+from .common import U64, chunks, documents, mix, ranges_hash, sha, word_hashes, words
 
 WINDOW, SHORTEST = 35, 16
 
@@ -105,19 +105,16 @@ def _repeated(level: DataFrame) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(k1, k2, n_words, n_removed, kept_sha256, kept) for each distinct text, kept being what is left of it."""
+    """(k1, k2, n_removed, kept_sha256, kept) of each distinct text that loses words, kept being what is left of it."""
     keyed = _keyed(docs, text_col)
     texts = keyed.groupBy("k1", "k2").agg(F.first("__text").alias("__text"), F.count(F.lit(1)).cast("int").alias("copies"))
-    steps, alive = lengths(window), None
+    steps, rows = lengths(window), keyed.select("k1", "k2", F.lit(1).alias("copies"), "__text")
     for before, length in zip([None, *steps], steps):
-        rows = keyed.select("k1", "k2", F.lit(1).alias("copies"), "__text") if alive is None else texts.join(alive, ["k1", "k2"])
-        level = _emit(rows, window, length, before)
-        if length == window:
-            # both uses of the rows share one copy on disk
-            level = saved(level)
-            alive = _repeated(level)
-        else:
-            alive = saved(_repeated(saved(level)))
+        alive = _repeated(saved(_emit(rows, window, length, before)))
+        # texts in which nothing survives are left behind here
+        rows = (texts if before is None else rows.drop("alive")).join(alive, ["k1", "k2"])
+        if length < window:
+            rows = saved(rows)
 
     def run(batches):
         for b, texts, data, off in chunks(batches, "__text"):
@@ -125,27 +122,39 @@ def removed_words(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
             raw, rows = data.tobytes(), []
             for i, own in enumerate(b.column("alive").to_pylist()):
                 lo, hi = int(first[i]), int(first[i + 1])
-                words = [raw[x:y] for x, y in zip(s[lo:hi].tolist(), e[lo:hi].tolist())]
-                if own:
-                    gone = np.zeros(hi - lo + 1, np.int64)
-                    own = np.array(own)
-                    np.add.at(gone, own, 1)
-                    np.subtract.at(gone, own + window, 1)
-                    keep = (np.cumsum(gone[:-1]) == 0).tolist()
-                    words = [w for w, k in zip(words, keep) if k]
-                left = b" ".join(words)
-                rows.append((hi - lo, hi - lo - len(words), sha(left), left.decode()))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *cols], ["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    out = texts.join(alive, ["k1", "k2"], "left").select("k1", "k2", "__text", "alive")
-    return out.mapInArrow(run, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept string")
+                gone, own = np.zeros(hi - lo + 1, np.int64), np.array(own)
+                np.add.at(gone, own, 1)
+                np.subtract.at(gone, own + window, 1)
+                keep = lo + np.flatnonzero(np.cumsum(gone[:-1]) == 0)
+                left = b" ".join([raw[x:y] for x, y in zip(s[keep].tolist(), e[keep].tolist())])
+                rows.append((hi - lo - len(keep), sha(left), left.decode()))
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *cols], ["k1", "k2", "n_removed", "kept_sha256", "kept"])
+
+    return rows.select("k1", "k2", "__text", "alive").mapInArrow(run, "k1 long, k2 long, n_removed long, kept_sha256 string, kept string")
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n_words, whole): the number and digest of all words of each row."""
+
+    def run(batches):
+        for b, _, data, off in chunks(batches, "__text"):
+            s, e, first = words(data, off)
+            raw = data.tobytes()
+            s, e, first = s.tolist(), e.tolist(), first.tolist()
+            digest = [sha(b" ".join([raw[x:y] for x, y in zip(s[i:j], e[i:j])])) for i, j in zip(first, first[1:])]
+            n = [j - i for i, j in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k1"), b.column("k2"), pa.array(n, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "k1", "k2", "n_words", "whole"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "k1", "k2", "__text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_words long, whole string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
     found = removed_words(docs, "text", window).drop("kept")
-    return _keyed(docs.select("doc_id", "text")).select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).drop("k1", "k2")
+    rows = _whole(_keyed(docs.select("doc_id", "text"))).join(found, ["k1", "k2"], "left")
+    return rows.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def op8(spark, sf_dir):
