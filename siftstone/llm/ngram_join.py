@@ -23,6 +23,7 @@ from ..operators.graph import components, saved
 from .common import U64, chunks, documents, mix, ranges_hash, word_hashes
 
 N, THRESHOLD, RECALL, TREES, DEPTH, BLOCK = 3, 0.5, 0.99, 40, 8, 512
+FILTER_BITS = 1 << 25
 
 
 def depth_for(threshold: float, recall: float, trees: int = TREES, deepest: int = DEPTH) -> int:
@@ -83,20 +84,53 @@ def _groups(texts: DataFrame) -> DataFrame:
     return saved(texts.select("key", F.xxhash64("key").alias("h")).join(group, "h").drop("h"))
 
 
+def _bits(keys: pa.Array) -> np.ndarray:
+    """Places of keys in the filter: two numbers of each."""
+    raw = np.frombuffer(b"".join(keys.to_pylist()), np.uint64).reshape(-1, 2)
+    return (raw % U64(FILTER_BITS)).astype(np.int64)
+
+
+def _filter(group: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys, of FILTER_BITS bits whatever their number: it spares most other texts a shuffle
+    while it isn't full, and lets them pass beyond."""
+
+    def run(batches):
+        words = np.zeros(FILTER_BITS // 64, np.int64)
+        for b in batches:
+            at = _bits(b.column(0)).ravel()
+            np.bitwise_or.at(words, at >> 6, np.int64(1) << (at & 63))
+        own = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(words[own])], ["word", "bits"])
+
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    found = group.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words
+
+
 def _verified(texts: DataFrame, keyed: DataFrame, threshold: float, n: int, pairs: bool) -> DataFrame:
     """Compares the whole sets of every two texts of a group, block by block, each two blocks in a task of
     their own. Gives (a, b, jaccard) of the links, or without ``pairs`` (key, n_links, root), which has a row for
     every linked text of a block and no pairs: its links there, and the root of its component there."""
     group = _groups(texts)
-    own = keyed.select(F.col("__key").alias("key"), "__text").join(group.select("key"), "key", "left_semi").groupBy("key").agg(F.first("__text").alias("text"))
+    members = keyed.sparkSession.sparkContext.broadcast(_filter(group))  # FILTER_BITS / 8 bytes
 
     def sets(batches):
-        for b, _, data, off in chunks(batches):
+        words = members.value
+
+        def chosen():
+            for b in batches:
+                at = _bits(b.column("key"))
+                yield b.filter(pa.array(((words[at >> 6] >> (at & 63)) & 1).all(1)))
+
+        for b, _, data, off in chunks(chosen(), "__text"):
             h, begin = shingles(data, off, n)
             sets = [np.unique(h[i:j]).tobytes() for i, j in zip(begin[:-1], begin[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["key", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sets, pa.binary())], ["key", "grams"])
 
-    m = own.mapInArrow(sets, "key binary, grams binary").join(group, "key").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    own = keyed.select(F.col("__key").alias("key"), "__text").mapInArrow(sets, "key binary, grams binary")
+    own = own.groupBy("key").agg(F.first("grams").alias("grams"))
+    m = own.join(group, "key").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     m = m.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "key"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "key", "grams")
