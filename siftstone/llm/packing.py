@@ -134,6 +134,7 @@ def pack(
                     off = np.concatenate([[0], np.cumsum(cols[1])]).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(off), pa.array(raw)))
                 yield pa.RecordBatch.from_arrays(out, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
+        t.known.clear()  # the worker may go on to other work
 
     src = df.select(id_col, text_col)
     kind = src.schema[0].dataType.simpleString()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, flat, mix, prefix_sums, ranges_hash, text_array
 from .langid import held_out
 
-SAMPLE = 1500
+SAMPLE = 1000
 STEPS, CUT, RATE, G_LEAST, L2 = 40, 256, 0.5, 25.0, 1e-4
 SLOTS = 1 << 19
 _LETTER = np.zeros(256, bool)
@@ -155,8 +155,13 @@ def _copies(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     """weight: of each document of a class, for its share in the score's fit."""
     y = np.asarray(toxic, bool)
-    data, off = flat(text_array(pa.array(texts, pa.large_string())))
-    feats, _, _, first = tokens(data, off)
+    parts, first = [], [0]
+    for i in range(0, len(texts), 200):
+        own, _, _, begin = tokens(*flat(text_array(pa.array(texts[i : i + 200], pa.large_string()))))
+        parts.append(own)
+        first += (first[-1] + begin[1:]).tolist()
+    feats, first = np.concatenate(parts, 1), np.array(first)
+    del parts
     copy = _copies(feats[0], first)
     if copy.any():
         own = np.flatnonzero(~copy).tolist()
@@ -164,10 +169,12 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     keys, at = np.unique(feats, return_inverse=True)
     at = at.reshape(feats.shape).astype(np.int32)
+    del feats  # what follows needs the places of features alone
     pair = np.unique((at.astype(np.int64) * len(texts) + doc).reshape(-1))
     k, d = np.divmod(pair, len(texts))
     a = np.bincount(k[y[d]], minlength=len(keys)).astype(float)
     b = np.bincount(k[~y[d]], minlength=len(keys)).astype(float)
+    del pair, k, d
     na, nb = float(y.sum()), float((~y).sum())
     telling = (_g(a, b, na, nb) >= G_LEAST) & (a * nb > 9 * b * na)
     tag = (telling[at].any(0) & y[doc]).astype(float)
@@ -175,6 +182,7 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     used = a + b >= 3
     dense = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)[at]
     w, bias, trans = np.zeros(int(used.sum())), -5.0, np.zeros((2, 2))
+    del at, doc
     there = dense >= 0
     index = dense[there]
     # chains are cut every CUT tokens for the fit
@@ -206,7 +214,8 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     model = Model(np.zeros(slots, U64), np.zeros(slots), float(bias), trans)
     slot = (keys[order] & U64(slots - 1)).astype(np.int64)
     model.keys[slot], model.weights[slot] = keys[order], weights[order]
-    model.score = _logistic(_summary(model.marginals(feats, first), first), y.astype(float), np.array([weight[int(v)] for v in y]))
+    f, q = messages(np.exp(np.clip(np.append(w, 0.0)[dense].sum(0) + bias, -30, 30)), first, trans)
+    model.score = _logistic(_summary(f * q / (1 + f * q), first), y.astype(float), np.array([weight[int(v)] for v in y]))
     return model
 
 
