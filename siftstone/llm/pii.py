@@ -4,8 +4,9 @@ Protected entities are the values of e-mail addresses, IP addresses, card and ph
 p(e) the share of all documents that hold e, and p(e|t) that among documents with the term t, t
 discloses the part PMI(e;t) / IC(e) = (log p(e|t) - log p(e)) / -log p(e) of e's information. Terms
 that disclose at least ``GENERALISE`` of an entity of their document are replaced by a class,
-those of at least ``REMOVE`` are dropped. One text can't tell what co-occurs, so an entity, and a
-term with it, must occur in at least two different texts; every document counts in the shares.
+those of at least ``REMOVE`` are dropped. Every document counts in the shares. An entity and a term
+that meet in one distinct text may do so by chance: there one more document, that has the term
+without the entity, is added to p(e|t)'s denominator, so rarity in the corpus decides.
 
 Base kinds are leftmost and non-overlapping, each for itself; a failing match consumes its text.
 Their scans take time in proportion to the text: an address is sought at each @, numbers from the
@@ -175,18 +176,34 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", gene
     texts = scanned.where(F.size("entities") > 0).groupBy("k1", "k2").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies"))
     texts = saved(texts)
     held = texts.select("k1", "k2", "copies", F.explode("entities").alias("entity"))
-    shared = held.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("holders")).where("texts > 1").drop("texts")
-    pairs = saved(held.join(shared, "entity").join(texts.select("k1", "k2", "terms"), ["k1", "k2"]).select("entity", "holders", "k1", "k2", "copies", F.explode("terms").alias("t")))
-    met = pairs.select("entity", "holders", "k1", "k2", "copies", F.col("t.term").alias("term")).distinct()
-    met = met.groupBy("entity", "term", "holders").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both")).where("texts > 1")
+    shared = held.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("holders"))
+    # the entities that a text alone has are told alike, so one stands for all of them
+    held = held.join(shared, "entity").groupBy("k1", "k2", "copies", "holders", F.when(F.col("texts") > 1, F.col("entity"))).agg(F.min("entity").alias("entity"))
+    pairs = held.join(texts.select("k1", "k2", F.array_distinct("terms.term").alias("terms")), ["k1", "k2"]).select("entity", "holders", "k1", "k2", "copies", F.explode("terms").alias("term"))
+    met = pairs.groupBy("entity", "term", "holders").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
     met = met.join(document_frequencies(docs, text_col), "term")
     p = F.col("holders") / F.lit(max(n, 1))
-    told = F.when(F.col("holders") >= n, F.lit(0.0)).otherwise((F.log(F.col("both") / F.col("df")) - F.log(p)) / -F.log(p))
+    told = F.when(F.col("holders") >= n, F.lit(0.0)).otherwise((F.log(F.col("both") / (F.col("df") + (F.col("texts") == 1).cast("int"))) - F.log(p)) / -F.log(p))
     told = met.withColumn("told", told).where(F.col("told") >= generalise)
     told = told.select("entity", "term", F.when(F.col("told") >= remove, 5).otherwise(4).alias("kind"))
-    spans = pairs.withColumn("term", F.col("t.term")).join(told, ["entity", "term"])
-    spans = spans.groupBy("k1", "k2", F.col("t.start").alias("start"), F.col("t.end").alias("end")).agg(F.max("kind").cast("int").alias("kind"))
-    return spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("extra"))
+    kinds = pairs.select("entity", "k1", "k2", "term").join(told, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("kind").cast("int").alias("kind"))
+    kinds = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("term", "kind")).alias("kinds"))
+
+    def run(batches):
+        for b in batches:
+            extra = []
+            for t, own in zip(b.column("terms"), b.column("kinds")):
+                term, start, end = (t.values.field(c).to_numpy() for c in ("term", "start", "end"))
+                own, kind = (own.values.field(c).to_numpy() for c in ("term", "kind"))
+                order = np.argsort(own)
+                own, kind = own[order], kind[order]
+                at = np.minimum(np.searchsorted(own, term), len(own) - 1)
+                hit = own[at] == term
+                extra.append([{"start": s, "kind": k, "end": e} for s, k, e in zip(start[hit].tolist(), kind[at[hit]].tolist(), end[hit].tolist())])
+            kinds_of = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(extra, kinds_of)], ["k1", "k2", "extra"])
+
+    return texts.select("k1", "k2", "terms").join(kinds, ["k1", "k2"]).mapInArrow(run, f"k1 long, k2 long, extra {_SPANS}")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,6 +92,39 @@ def test_equals_brute_force(spark):
         assert clean[2] == rows[2][1]
 
 
+def test_terms_of_entities_in_one_text(spark):
+    r = random.Random(7)
+    vocab = [f"word{i}" for i in range(150)]
+    own = {3: "a@one.example b@one.example Hapax pairword", 9: "10.0.0.1 pairword twice", 11: "c@two.example twice shared", 12: "c@two.example shared alone"}
+    rows = [(i, " ".join([own.get(i, ""), *(r.choice(vocab) for _ in range(20))]), "x") for i in range(2000)]
+    rows += [(3000 + i, "hot@copy.example hotword", "x") for i in range(1000)]
+    texts = collections.Counter(t for _, t, _ in rows)
+    ents = {t: {P.entity(k, t[s:e]) for s, k, e in P.base_spans(t)} for t in texts}
+    words = lambda t: [m for m in re.finditer(r"[^\W_]+", t) if len(m[0]) > 2]
+    df = collections.Counter(w for _, t, _ in rows for w in {m[0].lower() for m in words(t)})
+    want = {}
+    for t in texts:
+        base = P.base_spans(t)
+        for m in words(t):
+            if any(m.end() > a and m.start() < b for a, _, b in base):
+                continue
+            w = m[0].lower()
+            for e in ents[t]:
+                both = [x for x in texts if e in ents[x] and any(y[0].lower() == w for y in words(x))]
+                p = sum(texts[x] for x in texts if e in ents[x]) / len(rows)
+                v = (math.log(sum(texts[x] for x in both) / (df[w] + (len(both) == 1))) - math.log(p)) / -math.log(p)
+                if v >= P.GENERALISE:
+                    want[t, w] = max(want.get((t, w), 4), 5 if v >= P.REMOVE else 4)
+    got = {}
+    by = {i: t for i, t, _ in rows}
+    for x in P.find_personal(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect():
+        for k, s, e in (y.split(":") for y in x.spans.split(",") if y):
+            if k in ("general", "remove"):
+                got[by[x.doc_id], by[x.doc_id][int(s) : int(e)].lower()] = P.KINDS.index(k)
+    assert got == want
+    assert {w: k for (_, w), k in got.items()} == {"hapax": 4, "alone": 4, "shared": 5, "hotword": 5}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.find_personal(docs).count() == 0 and P.sanitise(docs).count() == 0
