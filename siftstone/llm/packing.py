@@ -62,8 +62,8 @@ class _Words(dict):
 class WordTokenizer:
     """Ids of texts as of the file's tokenizer (lower-case, words by a fixed pattern)."""
 
-    # the file's own pattern for texts up to U+00FF, which its normaliser only lowers
-    plain = re.compile(r"[\x00-\xff]*")
+    # the file's own pattern for texts up to U+00FF, which its normaliser only lowers; U+001C to U+001F are white space to Python alone
+    plain = re.compile(r"[\x00-\x1b\x20-\xff]*")
     split = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str):

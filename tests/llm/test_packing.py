@@ -14,6 +14,13 @@ def test_word_table_equals_whole_tokenizer():
         assert raw == np.array(w.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_every_latin_character_equals_whole_tokenizer():
+    w = WordTokenizer(tokenizer_path())
+    texts = [f"ab{s}{chr(c)}{s}cd {chr(c)}{chr(c)}" for c in range(256) for s in ("", " ")]
+    for t, raw in zip(texts, w.ids(texts)):
+        assert raw == np.array(w.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_pieces_are_binary_and_whole():
     for n in [*range(1, 300), 4095, 4096, 4097, 12_345]:
         p = pieces(n)
