@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, flat, mix, prefix_sums, ranges_hash, text_array
 from .langid import held_out
 
-SAMPLE = 1000
+SAMPLE = 2500
 STEPS, CUT, RATE, G_LEAST, L2 = 40, 256, 0.5, 25.0, 1e-4
 SLOTS = 1 << 19
 _LETTER = np.zeros(256, bool)
@@ -164,45 +164,59 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     del parts
     copy = _copies(feats[0], first)
     if copy.any():
+        del feats
         own = np.flatnonzero(~copy).tolist()
         return fit([texts[i] for i in own], [toxic[i] for i in own], weight)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    keys, at = np.unique(feats, return_inverse=True)
-    at = at.reshape(feats.shape).astype(np.int32)
+    # kinds of features one by one, for memory
+    keys, at, a, b = [], np.empty(feats.shape, np.int32), [], []
+    for j in range(len(feats)):
+        own, place = np.unique(feats[j], return_inverse=True)
+        d, k = np.divmod(np.unique(doc * max(len(own), 1) + place), max(len(own), 1))
+        a.append(np.bincount(k[y[d]], minlength=len(own)).astype(float))
+        b.append(np.bincount(k[~y[d]], minlength=len(own)).astype(float))
+        at[j] = place + sum(map(len, keys))
+        keys.append(own)
+        del place, d, k
     del feats  # what follows needs the places of features alone
-    pair = np.unique((at.astype(np.int64) * len(texts) + doc).reshape(-1))
-    k, d = np.divmod(pair, len(texts))
-    a = np.bincount(k[y[d]], minlength=len(keys)).astype(float)
-    b = np.bincount(k[~y[d]], minlength=len(keys)).astype(float)
-    del pair, k, d
+    keys, a, b = np.concatenate(keys), np.concatenate(a), np.concatenate(b)
     na, nb = float(y.sum()), float((~y).sum())
     telling = (_g(a, b, na, nb) >= G_LEAST) & (a * nb > 9 * b * na)
-    tag = (telling[at].any(0) & y[doc]).astype(float)
+    tag = (np.any([telling[x] for x in at], axis=0) & y[doc]).astype(float)
     # features of a single document or two say little
     used = a + b >= 3
-    dense = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)[at]
     w, bias, trans = np.zeros(int(used.sum())), -5.0, np.zeros((2, 2))
+    dense = np.where(used, np.cumsum(used) - 1, len(w)).astype(np.int32)[at]  # len(w): none
     del at, doc
-    there = dense >= 0
-    index = dense[there]
+
+    def summed(v):
+        return sum(np.bincount(x, v, len(w) + 1) for x in dense)[:-1]
+
+    def emissions():
+        padded = np.append(w, 0.0)
+        return np.exp(np.clip(sum(padded[x] for x in dense) + bias, -30, 30))
+
     # chains are cut every CUT tokens for the fit
     cuts = np.unique(np.concatenate([first, *[np.arange(i, j, CUT) for i, j in zip(first[:-1], first[1:]) if j - i > CUT]]))
     inner = np.ones(len(tag), bool)
     inner[cuts[cuts < len(tag)]] = False  # tokens with a predecessor
     prev = np.flatnonzero(inner) - 1
-    seen_bias, seen_trans, seen_w = tag.sum(), np.zeros((2, 2)), np.bincount(index, np.broadcast_to(tag, dense.shape)[there], len(w))
+    seen_bias, seen_trans, seen_w = tag.sum(), np.zeros((2, 2)), summed(tag)
     np.add.at(seen_trans, (tag[prev].astype(int), tag[prev + 1].astype(int)), 1)
     gw, gb, gt = np.full(len(w), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(STEPS if len(tag) else 0):
-        e = np.exp(np.clip(np.append(w, 0.0)[dense].sum(0) + bias, -30, 30))
+        e = emissions()
         f, q = messages(e, cuts, trans)
         m = f * q / (1 + f * q)
         t = np.exp(trans)
         x = e[prev + 1] * q[prev + 1]
-        joint = np.stack([np.full(len(prev), t[0, 0]), t[0, 1] * x, t[1, 0] * f[prev], t[1, 1] * f[prev] * x])
-        joint /= joint.sum(0)
-        dw = seen_w - np.bincount(index, np.broadcast_to(m, dense.shape)[there], len(w)) - L2 * len(tag) / max(len(w), 1) * w
-        db, dt = seen_bias - m.sum(), seen_trans - joint.sum(1).reshape(2, 2)
+        del e, q
+        joint = [np.full(len(prev), t[0, 0]), t[0, 1] * x, t[1, 0] * f[prev], t[1, 1] * f[prev] * x]
+        z = joint[0] + joint[1] + joint[2] + joint[3]
+        pairs = np.array([(j / z).sum() for j in joint])
+        del joint, z, x, f
+        dw = seen_w - summed(m) - L2 * len(tag) / max(len(w), 1) * w
+        db, dt = seen_bias - m.sum(), seen_trans - pairs.reshape(2, 2)
         gw, gb, gt = gw + dw * dw, gb + db * db, gt + dt * dt
         w += RATE * dw / np.sqrt(gw)
         bias += RATE * db / np.sqrt(gb)
@@ -214,7 +228,7 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     model = Model(np.zeros(slots, U64), np.zeros(slots), float(bias), trans)
     slot = (keys[order] & U64(slots - 1)).astype(np.int64)
     model.keys[slot], model.weights[slot] = keys[order], weights[order]
-    f, q = messages(np.exp(np.clip(np.append(w, 0.0)[dense].sum(0) + bias, -30, 30)), first, trans)
+    f, q = messages(emissions(), first, trans)
     model.score = _logistic(_summary(f * q / (1 + f * q), first), y.astype(float), np.array([weight[int(v)] for v in y]))
     return model
 

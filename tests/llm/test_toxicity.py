@@ -54,6 +54,18 @@ def corpus(n=1200, seed=0):
     return rows, labels
 
 
+def test_sample_reaches_rare_toxic_words():
+    r = np.random.default_rng(1)
+    vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    word = lambda i, bad: "wretch" if bad and i % 80 == 0 else "vile" if bad else "fine"
+    texts = [" ".join([*r.choice(vocab, 12), word(i, bad)]) for bad in (0, 1) for i in range(X.SAMPLE)]
+    toxic = [int(i >= X.SAMPLE) for i in range(len(texts))]
+    model = X.fit(texts, toxic, {0: 1.0, 1: 1.0})
+    data, off = X.flat(X.text_array(pa.array(["waa wretch wab"])))
+    f, _, _, first = X.tokens(data, off)
+    assert model.marginals(f, first)[1] > 0.5  # in 1.25% of the toxic documents
+
+
 def test_held_out_and_edges(spark):
     rows, labels = corpus()
     rows += [(None, None, "s"), (5000, "", "s"), (5001, "Éé wretch! " + "waa " * 50_000, "s"), (5001, "12", "s")]
