@@ -35,13 +35,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last of a source cut to its target."""
+    """Documents as often as the mix takes them, the last of a source cut to its target, in training order."""
     return _sized(mixing.take(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two sequences of the documents' tokens."""
-    return packing.pack(docs, with_ids=False)
+    """Power-of-two sequences of the documents' tokens, numbered in the order of files and rows."""
+    return packing.pack(docs, with_ids=False, in_file_order=True)
 
 
 STAGES = [

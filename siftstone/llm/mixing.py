@@ -87,14 +87,17 @@ def curriculum(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: a document once for each copy taken, the copy that
-    the target cuts with its first words alone. Rows of one id are told apart by source and size."""
+    the target cuts with its first words alone, range-sorted by the copies' positions. Rows of one id are told apart by source and size."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     own = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy(source_col, "__size", text_col)))
     m = mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **how)
-    m = m.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), "size", F.array(words_of_copy(0), words_of_copy(1)).alias("__words"))
-    m = m.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy("__source", "size", F.element_at("__words", 1).desc(), F.element_at("__words", 2).desc())))
+    copies = F.array(*[F.struct(words_of_copy(c).alias("words"), position(c).alias("position")) for c in range(2)])
+    m = m.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), "size", copies.alias("__copies"))
+    m = m.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy("__source", "size", *[F.col("__copies")[c]["words"].desc() for c in range(2)])))
     rows = own.join(m.withColumnRenamed("__nth", "__mth"), own[id_col].eqNullSafe(F.col("__id")) & (F.col("__nth") == F.col("__mth")))
-    rows = rows.withColumn("__copy", F.explode(F.filter("__words", lambda x: x > 0)))
+    rows = rows.withColumn("__c", F.explode(F.filter("__copies", lambda x: x["words"] > 0)))
+    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), "__size", F.col("__c.words").alias("__copy"), F.col("__c.position").alias("__position"))
+    rows = rows.repartitionByRange(F.col("__position"), F.col(id_col)).sortWithinPartitions("__position", id_col)
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), 1), 1, F.col("__copy").cast("int")), " ")
     text = F.when(F.col("__copy") == F.col("__size"), F.col(text_col)).otherwise(cut)
     return rows.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -18,12 +18,14 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import text_array
 
@@ -102,31 +104,41 @@ def pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
 
 
 def pack(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT, end: int = END, with_ids: bool = True
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT, end: int = END, with_ids: bool = True, in_file_order: bool = False
 ) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece.
 
     Null is the empty text, of the end id alone. Every row of the input gives its own pieces,
-    so repeated rows and null ids give repeated pieces with sequences of their own.
+    so repeated rows and null ids give repeated pieces with sequences of their own. ``in_file_order``: ids follow
+    the names of the input's files, then their rows, in place of partitions, which Spark fills by size.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
     path = tokenizer or tokenizer_path()
     tail = np.array([end], "<u4").tobytes()
 
+    block = F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("__block")
+    ranks: dict[int, int] = {}
+    if in_file_order:  # a row for each block of a file
+        found = df.select(F.input_file_name().alias("name"), F.input_file_block_start().alias("at"), block).distinct().collect()
+        if all(r["name"] for r in found):
+            ranks = {r["__block"]: k for k, r in enumerate(sorted(found, key=lambda r: (r["name"], r["at"])))}
+
     def run(batches):
         part = pyspark.TaskContext.get().partitionId()
-        t, serial = word_tokenizer(path), 0
+        t, serials = word_tokenizer(path), Counter()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 rows, at = [], []
+                own_parts = [ranks[x] for x in b.column(2).slice(i, 256).to_pylist()] if ranks else [part] * 256
                 for j, raw in enumerate(t.ids(text_array(b.column(1).slice(i, 256)).to_pylist())):
                     raw += tail
+                    part_of = own_parts[j]
                     for start, n in pieces(len(raw) // 4, limit):
                         own = raw[4 * start : 4 * (start + n)]
                         at.append(i + j)
-                        rows.append((start, n, zlib.crc32(own), len(raw) // 4, (n.bit_length() - 1) << 57 | part << 34 | serial, 0, own))
-                        serial += 1
+                        rows.append((start, n, zlib.crc32(own), len(raw) // 4, (n.bit_length() - 1) << 57 | part_of << 34 | serials[part_of], 0, own))
+                        serials[part_of] += 1
                 cols = list(zip(*rows))
                 out = [b.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in cols[:6])]
                 if with_ids:
@@ -136,6 +148,6 @@ def pack(
                 yield pa.RecordBatch.from_arrays(out, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
         t.known.clear()  # the worker may go on to other work
 
-    src = df.select(id_col, text_col)
+    src = df.select(id_col, text_col, *[block] * bool(ranks))
     kind = src.schema[0].dataType.simpleString()
     return src.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

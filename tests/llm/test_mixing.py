@@ -59,6 +59,21 @@ def test_positions_follow_the_schedule(spark):
     assert share(early, 2) < share(c, 2) - 0.01  # drift -0.5
 
 
+def test_taken_rows_and_sequences_follow_the_curriculum(spark, tmp_path):
+    from siftstone.llm import packing
+
+    df = spark.createDataFrame([(i, f"a b c w{i}", f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string").repartition(5)
+    want = [r.doc_id for r in mixing.curriculum(df).collect()]
+    mixing.take(df).write.option("maxRecordsPerFile", 150).parquet(str(tmp_path / "mix"))
+    packed = packing.pack(spark.read.parquet(str(tmp_path / "mix")), with_ids=False, in_file_order=True).collect()
+    assert len({r.sequence_id for r in packed}) == len(packed)
+    for n in {r.length for r in packed}:
+        rows = sorted((r for r in packed if r.length == n), key=lambda r: r.sequence_id)
+        left = iter(want)
+        assert len(rows) > 1 and all(r.doc_id in left for r in rows)  # a subsequence of the order
+    assert [r.doc_id for r in mixing.take(df).collect()] == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
