@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from siftstone.llm import ngram_join as J
@@ -56,5 +57,28 @@ def test_equals_brute_force(spark, rows):
 
 def test_empty_and_depth(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert J.depth_for(0.5, 0.99) == 3
-    assert J.depth_for(0.9, 0.99) > 3
+    assert J.depth_for(0.5, 0.99, 40) == 3
+    assert J.depth_for(0.9, 0.99, 40) > 3
+    assert J.meets(0.5, J.depth_for(0.5, 0.99)) >= 0.99
+
+
+def test_common_prefixes():
+    r = random.Random(1)
+    labels = [(r.randrange(2), *(r.choice([0, 1, 0xFFFF]) for _ in range(J.DEPTH))) for _ in range(400)]
+    k1 = np.array([t << 48 | a << 32 | b << 16 | c for t, a, b, c, *_ in labels])
+    k2 = np.array([d << 32 | e << 16 | f for *_, d, e, f in labels])
+    got = J._common(k1[1:], k2[1:], k1[:-1], k2[:-1]).tolist()
+    for x, y, n in zip(labels, labels[1:], got):
+        want = -1
+        if x[0] == y[0]:
+            want = 0
+            while want < J.DEPTH and x[1 + want] == y[1 + want]:
+                want += 1
+        assert n == want
+
+
+def test_unmet_links():
+    """Of links at the threshold alone, the estimate tells those that are left."""
+    n = 10_000
+    a, b = J.meets(0.5, 6), J.meets(0.5, 5)
+    assert abs(J.unmet(round(n * (b - a)), 6, 5, 0.5) - n * (1 - b)) < 20
