@@ -1,14 +1,14 @@
 """Order MinHash document fingerprints.
 
 A text's elements are its k-mers of code points (a shorter text is one element), numbered by
-occurrence. Their hashes fall into ``BINS`` ranges; of each range the ``TUPLE`` smallest are
-taken, put in text order, and their k-mers hashed as a tuple, so that both a changed k-mer and a
-changed order change the value. An empty range takes the next filled one's value. The ranges
-stand for as many random orders of one hash function (one-permutation hashing): the cost is one
-hash per element whatever the number of values, at every length. A fingerprint is 16 bits a
-range, in hexadecimal; likeness is the share of equal ranges.
-
-Null is the empty text, whose fingerprint is all zeros. Equal texts have equal fingerprints.
+occurrence. Each of ``VALUES`` random orders ranks all elements anew; the ``TUPLE`` least of them
+(ties by place) are put in text order and their k-mers hashed as a tuple, so that both a changed k-mer
+and a changed order change the value. A fingerprint is 16 bits a value, in hexadecimal; likeness is the share of
+equal values. Orders are independent at every length: an element's 32-bit hash is permuted
+by xor and an odd factor for each, a tile of orders and elements at a time.
+
+Null is the empty text, whose fingerprint is all zeros. Equal texts have equal fingerprints; long texts are
+fingerprinted whole; empty tables give no rows, further columns are left alone.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, sha, text_array
+from .common import U64, chunks, mix, sha
 
-K, BINS, TUPLE = 5, 64, 2
+K, VALUES, TUPLE = 5, 64, 2
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
-_SHIFT = U64(64 - BINS.bit_length() + 1)
-_EDGES = np.arange(BINS, dtype=U64) << _SHIFT
+_SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=U64)) >> U64(32)
+_XOR, _ODD = _SEEDS[:VALUES].astype(np.uint32)[:, None], (_SEEDS[VALUES:] | U64(1)).astype(np.uint32)[:, None]
+_CELLS = 1 << 16  # of a tile
 
 
 def _order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,9 +37,9 @@ def _order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """BINS unsigned 16-bit values."""
+    """VALUES unsigned 16-bit values."""
     if not text:
-        return np.zeros(BINS, np.uint16)
+        return np.zeros(VALUES, np.uint16)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = max(len(points) - K + 1, 1)
     h = np.zeros(n, U64)
@@ -50,21 +51,22 @@ def fingerprint(text: str) -> np.ndarray:
     same, place = _order(h)
     new = np.concatenate([[True], same[1:] != same[:-1]])
     begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    element = np.empty(n, U64)
-    element[place] = mix(h[place] + (np.arange(n) - begin).astype(U64) * _A)
-    least, place = _order(element)
-    cuts = np.append(np.searchsorted(least, _EDGES), n)
-    take = cuts[:-1, None] + np.arange(TUPLE)
-    there = take < cuts[1:, None]
-    at = np.where(there, place[np.minimum(take, n - 1)], n)  # missing ones last
+    element = np.empty(n, np.uint32)
+    element[place] = mix(h[place] + (np.arange(n) - begin).astype(U64) * _A) >> U64(32)
+    at = np.full((VALUES, TUPLE), n)  # missing ones last
+    step = max(_CELLS // n, 1)
+    for lo in range(0, VALUES, step):
+        rank = (element ^ _XOR[lo : lo + step]) * _ODD[lo : lo + step]
+        for k in range(min(TUPLE, n)):
+            least = rank.argmin(1)
+            at[lo : lo + step, k] = least
+            rank[np.arange(len(rank)), least] = 0xFFFFFFFF
     at.sort(axis=1)
     word = np.append(h, U64(1))
-    value = np.zeros(BINS, U64)
+    value = np.zeros(VALUES, U64)
     for k in range(TUPLE):
         value = mix(value * _A + word[at[:, k]])
-    filled = np.flatnonzero(there[:, 0])
-    own = np.searchsorted(filled, np.arange(BINS)) % len(filled)
-    return (value[filled[own]] >> U64(48)).astype(np.uint16)
+    return (value >> U64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -79,8 +81,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, fingerprint) of every row."""
 
     def run(batches):
-        for b in batches:
-            prints = [_hex(fingerprint(t)) for t in text_array(b.column(1)).to_pylist()]
+        for b, texts, _, _ in chunks(batches, text_col):
+            prints = [_hex(fingerprint(t)) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.string())], [id_col, "fingerprint"])
 
     src = df.select(id_col, text_col)
@@ -97,7 +99,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The next document is the one of the next doc_id (null first, ties by text, after the last the
     first). Ranges of doc_id go to one task each, in order, with a copy of the first document of the
-    next range; the driver sees one id for each range. One shuffle of the text.
+    next range; the driver sees one id for each range. One shuffle of the text. Rows of one id follow each
+    other in one task, one at a time.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -121,9 +124,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         last = None  # (bucket, doc_id, text, fingerprint) without a successor so far
-        for b in batches:
+        for b, texts, _, _ in chunks(batches):
             out = []
-            for doc_id, text, at, copy in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "copy"))):
+            for doc_id, text, at, copy in zip(b.column("doc_id").to_pylist(), texts.to_pylist(), b.column("bucket").to_pylist(), b.column("copy").to_pylist()):
                 if copy and (last is None or last[0] != at):
                     continue  # a further document of the same first id
                 f = fingerprint(text)

@@ -6,34 +6,67 @@ import numpy as np
 from siftstone.llm import omh
 
 
+M32, M64 = (1 << 32) - 1, (1 << 64) - 1
+
+
 def brute(text):
-    """From the definition, with Python's own sorting."""
+    """From the definition: every order ranks all numbered k-mers, the two least are hashed as they follow each other."""
     if not text:
-        return np.zeros(omh.BINS, np.uint16)
-    m = (1 << 64) - 1
-    mix = lambda x: int(omh.mix(np.array([x & m], np.uint64))[0])
-    kmers = [text[i : i + omh.K] for i in range(max(len(text) - omh.K + 1, 1))]
-    hs, seen, els = [], {}, []
+        return np.zeros(64, np.uint16)
+    mix = lambda x: int(omh.mix(np.array([x & M64], np.uint64))[0])
+    kmers = [text[i : i + 5] for i in range(max(len(text) - 4, 1))]
+    hashes, seen, elements = [], {}, []
     for k in kmers:
         h = 0
         for c in k:
-            h = (h * int(omh._A) + ord(c)) & m
-        hs.append(mix(h + int(omh._B)))
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & M64
+        hashes.append(mix(h + 0xC2B2AE3D27D4EB4F))
         seen[k] = seen.get(k, -1) + 1
-        els.append(mix(hs[-1] + seen[k] * int(omh._A)))
-    bins = {}
-    for i in sorted(range(len(els)), key=lambda i: els[i]):
-        bins.setdefault(els[i] >> int(omh._SHIFT), []).append(i)
+        elements.append(mix(hashes[-1] + seen[k] * 0x9E3779B97F4A7C15) >> 32)
     out = []
-    for b in range(omh.BINS):
-        own = next(bins[(b + s) % omh.BINS] for s in range(omh.BINS) if (b + s) % omh.BINS in bins)
-        at, v = sorted(own[: omh.TUPLE]), 0
-        for k in range(omh.TUPLE):
-            v = mix(v * int(omh._A) + (hs[at[k]] if k < len(at) else 1))
+    for t in range(64):
+        x, a = mix(t + 1) >> 32, mix(t + 65) >> 32 | 1
+        ranked = sorted((((e ^ x) * a) & M32, i) for i, e in enumerate(elements))
+        v = 0
+        for h in ([hashes[i] for i in sorted(i for _, i in ranked[:2])] + [1])[:2]:
+            v = mix(v * 0x9E3779B97F4A7C15 + h)
         out.append(v >> 48)
     return np.array(out, np.uint16)
 
 
+def exact_likeness(a, b, orders=400):
+    """The same with orders drawn by shuffles: the share of orders whose tuples agree."""
+
+    def numbered(t):
+        seen, out = {}, []
+        for i in range(max(len(t) - 4, 1)):
+            k = t[i : i + 5]
+            seen[k] = seen.get(k, -1) + 1
+            out.append((k, seen[k]))
+        return out
+
+    r, x, y = random.Random(9), numbered(a), numbered(b)
+    every, same = sorted(set(x) | set(y)), 0
+    for _ in range(orders):
+        rank = dict(zip(every, r.sample(range(len(every)), len(every))))
+        least = [[k for _, k in sorted((i, e[0]) for i, e in sorted(enumerate(z), key=lambda p: rank[p[1]])[:2])] for z in (x, y)]
+        same += least[0] == least[1]
+    return same / orders
+
+
+def test_likeness_at_every_length():
+    """Without bias from 10 to 1000 characters."""
+    r = random.Random(3)
+    for n, times in [(10, 60), (20, 60), (40, 60), (80, 40), (1000, 8)]:
+        got, want = [], []
+        for _ in range(times):
+            a, b = ("".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for _ in range(2))
+            e = omh.edited(a, b)
+            got.append(omh.likeness(omh.fingerprint(a), omh.fingerprint(e)))
+            want.append(exact_likeness(a, e))
+        assert abs(np.mean(got) - np.mean(want)) < 0.05, n
+
+
 def test_fingerprint_equals_brute_force():
     r = random.Random(0)
     for n in [0, 1, 4, 5, 6, 50, 700]:
