@@ -2,17 +2,20 @@
 
 Tokens are runs of letters, with features word, beginnings of 4 and 6 bytes and ending of 5
 bytes, in lower case. The field has two states. It is fitted on at most ``SAMPLE`` labelled
-documents a class (those of the smallest hashes): features that tell toxic from clean documents
-beyond chance (G test) label the tokens of toxic documents, the field learns these labels by
-gradient ascent on its conditional likelihood, and a logistic regression on a document's
-marginals, weighted back to the classes' true sizes, learns its score.
+documents a class (those of the smallest hashes; of a repeated doc_id the least text): features that tell
+toxic from clean documents beyond chance (G test) label the tokens of toxic documents, the field learns these
+labels by gradient ascent on its conditional likelihood, and a logistic regression on a document's
+marginals, weighted back to the classes' true sizes, learns its score. Near copies within a class share the
+weight of one document in the test and in the field, so that what they share isn't taken for a sign; none is dropped.
+Features of fewer than ``LEAST`` documents have no weight.
 
 Scoring is one pass without a shuffle. With two states, forward and backward messages are ratios,
-so all texts of a slice advance together, one token a step. A span is a run of tokens whose
-marginal is at least 1/2; offsets are code points.
+so all texts of a slice advance together, one token a step. Texts of more than ``PIECE`` tokens advance in pieces
+that are composed first and entered then, which gives the messages of the whole chain. A span is a run of tokens
+whose marginal is at least 1/2; offsets are code points.
 
 Null and empty texts have the score of a text without tokens. Without labels of both classes
-every text has the share of toxic labels (0 if there are none).
+every text has the share of toxic labels (0 if there are none). Empty tables give no rows; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from .common import U64, chunks, flat, mix, prefix_sums, ranges_hash, text_array
 from .langid import held_out
 
 SAMPLE = 2500
-STEPS, CUT, RATE, G_LEAST, L2 = 40, 256, 0.5, 25.0, 1e-4
-SLOTS = 1 << 19
+STEPS, RATE, G_LEAST, LEAST, L2 = 40, 0.5, 25.0, 3, 1e-4
+PIECE = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -57,30 +60,86 @@ def tokens(data: np.ndarray, off: np.ndarray):
 
 
 def _ragged(first: np.ndarray):
-    """Places of tokens when all texts, longest first, advance together: (place of each token, begin of each step)."""
+    """Places of tokens when all texts, longest first, advance together: (place of each token, begin of each step,
+    texts in that order)."""
     n = np.diff(first)
+    order = np.argsort(-n, kind="stable")
     rank = np.empty(len(n), np.int64)
-    rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+    rank[order] = np.arange(len(n))
     longest = int(n.max(initial=0))
     active = len(n) - np.searchsorted(np.sort(n), np.arange(longest), "right")
     begin = np.concatenate([[0], np.cumsum(active)])
     doc = np.repeat(np.arange(len(n)), n)
-    return begin[np.arange(first[-1] - first[0]) - np.repeat(first[:-1] - first[0], n)] + rank[doc], begin
+    return begin[np.arange(first[-1] - first[0]) - np.repeat(first[:-1] - first[0], n)] + rank[doc], begin, order
+
+
+def _composed(w: np.ndarray, cuts: np.ndarray, opens: np.ndarray, trans: np.ndarray):
+    """For each piece the product of its steps, which takes the two states' weights before it to those at its last token, up
+    to a factor; of a piece that opens a text the first column alone counts."""
+    a, b, c, d = np.exp(trans).ravel()
+    n = np.diff(cuts)
+    order = np.argsort(-n, kind="stable")
+    start, size, opens = cuts[:-1][order], n[order], opens[order]
+    own = w[start]
+    m = [np.where(opens, 1.0, a), np.where(opens, 0.0, c), np.where(opens, own, own * b), np.where(opens, 0.0, own * d)]
+    for k in range(1, int(size.max(initial=0))):
+        go = int(np.searchsorted(-size, -k))
+        own = w[start[:go] + k]
+        p, q, r, t = (x[:go] for x in m)
+        new = (a * p + c * r, a * q + c * t, own * (b * p + d * r), own * (b * q + d * t))
+        most = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))
+        for x, y in zip(m, new):
+            x[:go] = y / most
+    out = np.empty((4, len(n)))
+    out[:, order] = m
+    return out
 
 
 def messages(w: np.ndarray, first: np.ndarray, trans: np.ndarray):
     """Forward and backward ratios (state 1 over state 0) of every token, from its emission ratio w."""
-    place, begin = _ragged(first)
+    n = np.diff(first)
+    if n.max(initial=0) <= PIECE:
+        return _advance(w, first, trans, np.ones(len(n)), np.ones(len(n)))
+    a, b, c, d = np.exp(trans).ravel()
+    count = -(-n // PIECE)
+    doc = np.repeat(np.arange(len(n)), count)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    cuts = np.append(first[:-1][doc] + nth * PIECE, first[-1])
+    before, after = np.ones(len(doc)), np.ones(len(doc))
+    long = np.flatnonzero(count[doc] > 1)
+    ends = np.minimum(cuts[:-1][long] + PIECE, first[1:][doc[long]])
+    own = np.concatenate([np.arange(i, j) for i, j in zip(cuts[:-1][long], ends)])
+    m = np.zeros((4, len(doc)))
+    m[:, long] = _composed(w[own], np.concatenate([[0], np.cumsum(ends - cuts[:-1][long])]), nth[long] == 0, trans)
+    ratio = np.zeros(len(doc))
+    for k in range(int(count.max())):
+        at = long[nth[long] == k]
+        if k:
+            ratio[at] = (m[2, at] + m[3, at] * ratio[at - 1]) / (m[0, at] + m[1, at] * ratio[at - 1])
+            before[at] = (b + d * ratio[at - 1]) / (a + c * ratio[at - 1])
+        else:
+            ratio[at] = m[2, at] / m[0, at]
+    for k in range(int(count.max()) - 1, 0, -1):
+        at = long[nth[long] == k]
+        after[at - 1] = (m[1, at] + m[3, at] * after[at]) / (m[0, at] + m[2, at] * after[at])
+    return _advance(w, cuts, trans, before, after)
+
+
+def _advance(w, first, trans, before, after):
+    """Messages within texts, from the factor of the message into each and the message back into its last token."""
+    place, begin, order = _ragged(first)
     (a, b), (c, d) = np.exp(trans)
     x = np.empty(len(w))
     x[place] = w
     fwd, bwd = np.empty_like(x), np.ones_like(x)
+    there = first[:-1] < first[1:]
+    bwd[place[first[1:][there] - 1]] = after[there]
     steps = begin.tolist()
     r = None
     for lo, hi in zip(steps, steps[1:]):
         own = x[lo:hi]
         if r is None:
-            r = own.copy()
+            r = own * before[order[: hi - lo]]
         else:
             r = r[: hi - lo]
             r = own * ((b + d * r) / (a + c * r))
@@ -92,18 +151,45 @@ def messages(w: np.ndarray, first: np.ndarray, trans: np.ndarray):
     return fwd[place], bwd[place]
 
 
+def _slots(keys: np.ndarray, weights: np.ndarray):
+    """A table of a power of two places, at most a quarter full: a key is at its low bits or, if that place is
+    another's, at the next free one. 0 is no key."""
+    size = 4
+    while size < 4 * len(keys):
+        size *= 2
+    table, values = np.zeros(size, U64), np.zeros(size)
+    at, left = (keys & U64(size - 1)).astype(np.int64), np.arange(len(keys))
+    while len(left):
+        own, who = np.unique(at[left], return_index=True)
+        free = table[own] == 0
+        own, who = own[free], left[who[free]]
+        table[own], values[own] = keys[who], weights[who]
+        left = left[table[at[left]] != keys[left]]
+        at[left] = at[left] + 1 & size - 1
+    return table, values
+
+
 @dataclass
 class Model:
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(1, U64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(4, U64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
     bias: float = -5.0
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     score: np.ndarray = field(default_factory=lambda: np.array([-50.0, 0.0, 0.0]))
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        slot = (features & U64(len(self.keys) - 1)).astype(np.int64)
-        s = (np.where(self.keys[slot] == features, self.weights[slot], 0.0)).sum(0) + self.bias
-        return np.exp(np.clip(s, -30, 30))
+        wanted, last = features.ravel(), len(self.keys) - 1
+        at = (wanted & U64(last)).astype(np.int64)
+        have = self.keys[at]
+        s = np.where(have == wanted, self.weights[at], 0.0)
+        go = np.flatnonzero((have != wanted) & (have != 0))
+        while len(go):  # the place is another key's
+            at[go] = at[go] + 1 & last
+            have = self.keys[at[go]]
+            hit = have == wanted[go]
+            s[go[hit]] = self.weights[at[go[hit]]]
+            go = go[~hit & (have != 0)]
+        return np.exp(np.clip(s.reshape(features.shape).sum(0) + self.bias, -30, 30))
 
     def marginals(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
         f, b = messages(self.emissions(features), first, self.trans)
@@ -136,19 +222,38 @@ def _g(a, b, na, nb):
         return 2 * (np.where(a > 0, a * np.log(a / ea), 0) + np.where(b > 0, b * np.log(b / eb), 0))
 
 
-def _copies(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Texts that share one of four minimal hashes of five-token runs with an earlier one. Copies of
-    a toxic text share words that aren't toxic, so in a sample they count once."""
+def _shares(words: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each text 1 over the number of its near copies of its class, itself included: texts are joined that have half of
+    16 minimal hashes of five-token runs in common, among those that agree in a band of four."""
     n = np.diff(first)
     run = np.zeros(len(words), U64)
     for k in range(5):  # runs end with their text
         at = np.minimum(np.arange(len(words)) + k, np.repeat(first[1:] - 1, n))
         run = (run ^ words[at]) * U64(0x9E3779B97F4A7C15) + U64(k)
-    there, out = np.flatnonzero(n), np.zeros(len(n), bool)
-    for k in range(4 if len(there) else 0):
-        least = np.minimum.reduceat(mix(run + U64(k)), first[:-1][there])
-        _, at, back = np.unique(least, return_index=True, return_inverse=True)
-        out[there] |= at[back] != np.arange(len(there))
+    there = np.flatnonzero(n)
+    out = np.ones(len(n))
+    if not len(there):
+        return out
+    least = np.stack([np.minimum.reduceat(mix(run + U64(k)), first[:-1][there]) for k in range(16)])
+    parent = list(range(len(there)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for k in range(0, 16, 4):
+        band = y[there].astype(U64)
+        for row in least[k : k + 4]:
+            band = mix(band * U64(0x9E3779B97F4A7C15) + row)
+        _, hub, back = np.unique(band, return_index=True, return_inverse=True)
+        hub = hub[back]
+        alike = (hub != np.arange(len(hub))) & ((least == least[:, hub]).mean(0) >= 0.5)
+        for i in np.flatnonzero(alike).tolist():
+            i, j = find(i), find(int(hub[i]))
+            parent[max(i, j)] = min(i, j)
+    root = np.array([find(i) for i in range(len(there))])
+    out[there] = 1 / np.bincount(root, minlength=len(root))[root]
     return out
 
 
@@ -162,31 +267,27 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
         first += (first[-1] + begin[1:]).tolist()
     feats, first = np.concatenate(parts, 1), np.array(first)
     del parts
-    copy = _copies(feats[0], first)
-    if copy.any():
-        del feats
-        own = np.flatnonzero(~copy).tolist()
-        return fit([texts[i] for i in own], [toxic[i] for i in own], weight)
+    share = _shares(feats[0], first, y)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     # kinds of features one by one, for memory
     keys, at, a, b = [], np.empty(feats.shape, np.int32), [], []
     for j in range(len(feats)):
         own, place = np.unique(feats[j], return_inverse=True)
         d, k = np.divmod(np.unique(doc * max(len(own), 1) + place), max(len(own), 1))
-        a.append(np.bincount(k[y[d]], minlength=len(own)).astype(float))
-        b.append(np.bincount(k[~y[d]], minlength=len(own)).astype(float))
+        a.append(np.bincount(k[y[d]], share[d[y[d]]], minlength=len(own)))
+        b.append(np.bincount(k[~y[d]], share[d[~y[d]]], minlength=len(own)))
         at[j] = place + sum(map(len, keys))
         keys.append(own)
         del place, d, k
     del feats  # what follows needs the places of features alone
     keys, a, b = np.concatenate(keys), np.concatenate(a), np.concatenate(b)
-    na, nb = float(y.sum()), float((~y).sum())
+    na, nb = share[y].sum(), share[~y].sum()
     telling = (_g(a, b, na, nb) >= G_LEAST) & (a * nb > 9 * b * na)
     tag = (np.any([telling[x] for x in at], axis=0) & y[doc]).astype(float)
-    # features of a single document or two say little
-    used = a + b >= 3
+    used = a + b > LEAST - 1e-6
     w, bias, trans = np.zeros(int(used.sum())), -5.0, np.zeros((2, 2))
     dense = np.where(used, np.cumsum(used) - 1, len(w)).astype(np.int32)[at]  # len(w): none
+    part = share[doc]
     del at, doc
 
     def summed(v):
@@ -196,38 +297,30 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
         padded = np.append(w, 0.0)
         return np.exp(np.clip(sum(padded[x] for x in dense) + bias, -30, 30))
 
-    # chains are cut every CUT tokens for the fit
-    cuts = np.unique(np.concatenate([first, *[np.arange(i, j, CUT) for i, j in zip(first[:-1], first[1:]) if j - i > CUT]]))
     inner = np.ones(len(tag), bool)
-    inner[cuts[cuts < len(tag)]] = False  # tokens with a predecessor
+    inner[first[:-1][np.diff(first) > 0]] = False  # tokens with a predecessor
     prev = np.flatnonzero(inner) - 1
-    seen_bias, seen_trans, seen_w = tag.sum(), np.zeros((2, 2)), summed(tag)
-    np.add.at(seen_trans, (tag[prev].astype(int), tag[prev + 1].astype(int)), 1)
+    seen_bias, seen_trans, seen_w = (tag * part).sum(), np.zeros((2, 2)), summed(tag * part)
+    np.add.at(seen_trans, (tag[prev].astype(int), tag[prev + 1].astype(int)), part[prev])
     gw, gb, gt = np.full(len(w), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(STEPS if len(tag) else 0):
         e = emissions()
-        f, q = messages(e, cuts, trans)
-        m = f * q / (1 + f * q)
+        f, q = messages(e, first, trans)
+        m = f * q / (1 + f * q) * part
         t = np.exp(trans)
         x = e[prev + 1] * q[prev + 1]
         del e, q
         joint = [np.full(len(prev), t[0, 0]), t[0, 1] * x, t[1, 0] * f[prev], t[1, 1] * f[prev] * x]
-        z = joint[0] + joint[1] + joint[2] + joint[3]
+        z = (joint[0] + joint[1] + joint[2] + joint[3]) / part[prev]
         pairs = np.array([(j / z).sum() for j in joint])
         del joint, z, x, f
-        dw = seen_w - summed(m) - L2 * len(tag) / max(len(w), 1) * w
+        dw = seen_w - summed(m) - L2 * part.sum() / max(len(w), 1) * w
         db, dt = seen_bias - m.sum(), seen_trans - pairs.reshape(2, 2)
         gw, gb, gt = gw + dw * dw, gb + db * db, gt + dt * dt
         w += RATE * dw / np.sqrt(gw)
         bias += RATE * db / np.sqrt(gb)
         trans += RATE * dt / np.sqrt(gt)
-    own, slots = np.flatnonzero(used), SLOTS
-    order = own[np.argsort(np.abs(w), kind="stable")]  # on a clash the larger weight stays
-    weights = np.zeros(len(keys))
-    weights[own] = w
-    model = Model(np.zeros(slots, U64), np.zeros(slots), float(bias), trans)
-    slot = (keys[order] & U64(slots - 1)).astype(np.int64)
-    model.keys[slot], model.weights[slot] = keys[order], weights[order]
+    model = Model(*_slots(keys[used], w), float(bias), trans)
     f, q = messages(emissions(), first, trans)
     model.score = _logistic(_summary(f * q / (1 + f * q), first), y.astype(float), np.array([weight[int(v)] for v in y]))
     return model
@@ -258,8 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = count[1] / (count[0] + count[1])
 
     def run(batches):
-        rows = {(i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns))}
-        rows = sorted(rows)
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         n = [sum(r[2] == k for r in rows) for k in (0, 1)]
         if all(n):
             model = fit([r[1] for r in rows], [r[2] for r in rows], {k: count[k] / n[k] for k in (0, 1)})
@@ -268,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # at most 2 * sample rows, fitted in one task to spare the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else Model(score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
 
@@ -293,7 +385,7 @@ def _spans(p: np.ndarray, s, e, first, points, off) -> list[str]:
 
 def score_toxicity(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep``, score, predicted and spans (offending offsets) for every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS keys and weights, 8 MB whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(model)  # as large as the bounded sample's features, whatever the input
 
     def run(batches):
         model = shared.value

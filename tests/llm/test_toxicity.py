@@ -30,6 +30,63 @@ def test_marginals_equal_all_taggings():
             assert np.allclose(p[i:j], brute_marginals(w[i:j], trans))
 
 
+def sequential(w, first, trans):
+    """One token after the other."""
+    (a, b), (c, d) = np.exp(trans)
+    f, q = np.empty(len(w)), np.ones(len(w))
+    for i, j in zip(first[:-1], first[1:]):
+        for k in range(i, j):
+            f[k] = w[k] * (1 if k == i else (b + d * f[k - 1]) / (a + c * f[k - 1]))
+        for k in range(j - 2, i - 1, -1):
+            x = w[k + 1] * q[k + 1]
+            q[k] = (c + d * x) / (a + b * x)
+    return f, q
+
+
+def test_long_chains_in_pieces_are_whole():
+    r = np.random.default_rng(4)
+    lens = [0, 3, X.PIECE, X.PIECE + 1, 5 * X.PIECE + 17, 0, 2 * X.PIECE, 1]
+    first = np.concatenate([[0], np.cumsum(lens)])
+    w, trans = np.exp(4 * r.normal(size=first[-1])), r.normal(size=(2, 2))
+    for got, want in zip(X.messages(w, first, trans), sequential(w, first, trans)):
+        assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_every_feature_keeps_its_weight():
+    r = np.random.default_rng(5)
+    keys = np.unique(r.integers(1, 1 << 63, 3000).astype(np.uint64) & np.uint64(~0xFF & (1 << 64) - 1))  # places clash
+    model = X.Model(*X._slots(keys, np.arange(len(keys)) / 1000.0), 0.0)
+    others = keys + np.uint64(1)
+    assert np.allclose(np.log(model.emissions(np.stack([keys, others]))), np.arange(len(keys)) / 1000.0)
+
+
+def test_near_copies_share_one_weight():
+    r = np.random.default_rng(6)
+    draw = lambda n: r.integers(1, 1 << 60, n).astype(np.uint64)
+    base = draw(200)
+    near = base.copy()
+    near[7] = 5
+    texts, y = [base, near, base, base, draw(200), draw(0)], np.array([1, 1, 1, 0, 1, 1], bool)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = X._shares(np.concatenate(texts), first, y)
+    assert got.tolist() == [1 / 3, 1 / 3, 1 / 3, 1, 1, 1]
+
+
+def test_fit_follows_the_likelihood():
+    """The gradient of the weighted log likelihood vanishes as the field learns: marginals come near the labels."""
+    texts = ["good day to you"] * 1 + [f"fine word{chr(97 + i % 26)} here" for i in range(60)] + [f"vile word{chr(97 + i % 26)} here" for i in range(60)]
+    model = X.fit(texts, [0] * 61 + [1] * 60, {0: 1.0, 1: 1.0})
+    data, off = X.flat(X.text_array(pa.array(["vile word here", "fine word here"])))
+    f, _, _, first = X.tokens(data, off)
+    p = model.marginals(f, first)
+    assert p[0] > 0.9 and p[1:].max() < 0.2
+    # the score is a logistic function of the largest marginal's log-odds and of the expected number of toxic tokens
+    for k, own in enumerate((p[:3], p[3:])):
+        top = np.clip(own.max(), 1e-4, 1 - 1e-4)
+        z = model.score @ [1, np.log(top / (1 - top)), np.log1p(own.sum())]
+        assert np.isclose(model.document(p, first)[k], 1 / (1 + np.exp(-np.clip(z, -50, 50))))
+
+
 def test_tokens_and_offsets():
     texts = ["Éa bad. BAD", "", "x1y"]
     data, off = X.flat(X.text_array(pa.array(texts)))
