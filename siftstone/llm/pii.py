@@ -11,8 +11,13 @@ without the entity, is added to p(e|t)'s denominator, so rarity in the corpus de
 Base kinds are leftmost and non-overlapping, each for itself; a failing match consumes its text.
 Their scans take time in proportion to the text: an address is sought at each @, numbers from the
 beginnings of digit runs. Corpus counts are made per partition first; documents meet their terms'
-spans by the digest of their text, so copies, however many, meet one row. Null is the empty text;
-empty tables give no rows; offsets are code points, ends exclusive.
+spans by the digest of their text, so copies, however many, meet one row.
+
+Rows of entities and terms stay near the text's length: entities that the same texts hold are told alike and are one
+class, and a term is paired only if it can disclose enough: p(e|t) is at most both / df, so df must not exceed
+holders^GENERALISE * documents^(1 - GENERALISE) of some entity of the text. Terms are of three bytes or more. Null
+is the empty text; texts of many entities, very long ones, repeated rows and null ids are like any other; empty tables
+give no rows, further columns of any name are left alone; offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -176,12 +181,18 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str = "text", gene
     texts = scanned.where(F.size("entities") > 0).groupBy("k1", "k2").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies"))
     texts = saved(texts)
     held = texts.select("k1", "k2", "copies", F.explode("entities").alias("entity"))
-    shared = held.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("holders"))
-    # the entities that a text alone has are told alike, so one stands for all of them
-    held = held.join(shared, "entity").groupBy("k1", "k2", "copies", "holders", F.when(F.col("texts") > 1, F.col("entity"))).agg(F.min("entity").alias("entity"))
-    pairs = held.join(texts.select("k1", "k2", F.array_distinct("terms.term").alias("terms")), ["k1", "k2"]).select("entity", "holders", "k1", "k2", "copies", F.explode("terms").alias("term"))
-    met = pairs.groupBy("entity", "term", "holders").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
-    met = met.join(document_frequencies(docs, text_col), "term")
+    place = F.xxhash64("k1", "k2")
+    which = [F.count(F.lit(1)).alias("texts"), F.bit_xor(place).alias("x"), F.bit_xor(F.xxhash64(place, F.lit(1))).alias("y")]
+    shared = held.groupBy("entity").agg(F.sum("copies").alias("holders"), *which)
+    # the entities that the same texts have are told alike, so one stands for all of them
+    held = held.join(shared, "entity").groupBy("k1", "k2", "copies", "holders", "texts", "x", "y").agg(F.min("entity").alias("entity")).drop("texts", "x", "y")
+    # a term of a higher document frequency can't reach GENERALISE; a little above, for rounding
+    bound = lambda holders: F.pow(holders.cast("double"), F.lit(float(generalise))) * float(max(n, 1)) ** (1 - generalise) * (1 + 1e-9)
+    most = held.groupBy("k1", "k2").agg(F.max("holders").alias("most"))
+    found = texts.join(most, ["k1", "k2"]).select("k1", "k2", bound(F.col("most")).alias("bound"), F.explode(F.array_distinct("terms.term")).alias("term"))
+    rare = found.join(document_frequencies(docs, text_col), "term").where("df <= bound").select("k1", "k2", "term", "df")
+    pairs = saved(held.join(rare, ["k1", "k2"]).where(F.col("df") <= bound(F.col("holders"))))
+    met = pairs.groupBy("entity", "term", "holders", "df").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("both"))
     p = F.col("holders") / F.lit(max(n, 1))
     told = F.when(F.col("holders") >= n, F.lit(0.0)).otherwise((F.log(F.col("both") / (F.col("df") + (F.col("texts") == 1).cast("int"))) - F.log(p)) / -F.log(p))
     told = met.withColumn("told", told).where(F.col("told") >= generalise)
@@ -236,18 +247,15 @@ def sanitised(text: str, extra) -> str:
     return "".join(out) + text[last:]
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 10_000) -> DataFrame:
-    """``docs`` with sanitised texts (null stays null). Texts meet the spans of their terms by a broadcast of at most ``broadcast_rows``
-    texts' spans, by a shuffle beyond."""
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with sanitised texts (null stays null), which meet the spans of their terms by their digests."""
     extra = saved(disclosing(docs, scan(docs, id_col, text_col), text_col)).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "extra": "__extra"})
-    if extra.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        extra = F.broadcast(extra)
     k1, k2 = _keys(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.withColumn("__k1", k1).withColumn("__k2", k2).join(extra, ["__k1", "__k2"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__extra")
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b, _, _, _ in chunks(batches, text_col):
             spans = b.column(b.num_columns - 1).to_pylist()
             new = [None if t is None else sanitised(t, [(x["start"], x["kind"], x["end"]) for x in s or ()]) for t, s in zip(b.column(at).to_pylist(), spans)]
             cols = list(b.columns[:-1])

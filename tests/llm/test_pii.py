@@ -85,8 +85,10 @@ def test_equals_brute_force(spark):
         n = [sum(k == j for _, k, _ in base) for j in range(4)]
         want.append((i, *n, hashlib.sha256(show(base).encode()).hexdigest(), show(base + extra)))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    for limit in (10_000, 0):  # broadcast and shuffle
-        clean = {r.doc_id: r.text for r in P.sanitise(docs, broadcast_rows=limit).collect()}
+    for limit in ("10m", "-1"):  # broadcast and shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        clean = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert clean[None] is None and clean[400] == ""
         assert "boss" not in clean[0] and "<EMAIL>" in clean[0] and "phrase" not in clean[0]
         assert clean[2] == rows[2][1]
@@ -125,6 +127,23 @@ def test_terms_of_entities_in_one_text(spark):
     assert {w: k for (_, w), k in got.items()} == {"hapax": 4, "alone": 4, "shared": 5, "hotword": 5}
 
 
+def test_rows_in_proportion_to_the_text(spark, monkeypatch):
+    """Two texts with many common and many own entities and terms."""
+    counts = []
+    for n in (200, 800, 12_000):  # up to 1 MB
+        base = " ".join(f"m{i}@x{i}.example term{i} word{i}" for i in range(n))
+        rows = [(1, base + " own1@a.example first"), (2, base + " own2@a.example second"), (3, "other")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        written = []
+        monkeypatch.setattr(P, "saved", lambda df, keep=P.saved: written.append(keep(df)) or written[-1])
+        got = P.find_personal(docs).collect()
+        monkeypatch.undo()
+        assert sorted(r.n_email for r in got) == [0, n + 1, n + 1]
+        assert all(r.spans.count("remove") >= 2 * n for r in got if r.n_email)
+        counts.append(max(df.count() for df in written))
+    assert counts[2] <= 2.2 * 12_000 * 4 and counts[1] < 5 * counts[0]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.find_personal(docs).count() == 0 and P.sanitise(docs).count() == 0
