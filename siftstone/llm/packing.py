@@ -4,8 +4,9 @@ A document's token ids are cut from its start into pieces of 4096, then into the
 digits of what is left, longest first. Each piece is a sequence by itself, and sequences of
 one length share a bucket: none crosses documents and none is padded. ``sequence_id`` is
 (log2 of the length, partition, running number), so a bucket is a range of ids; nothing is
-shuffled. The ids follow from the partitions of the input, which for files are the same on
-every run.
+shuffled; ``bucket`` is that logarithm, by which ``write_buckets`` lays the sequences out. The ids follow from the
+partitions of the input, which for files are the same on every run. Texts are tokenized whole, whatever their
+length; equal texts give equal pieces; an empty table gives no rows and further columns of any name are left alone.
 
 Tokens: words repeat, so a word's ids are kept in a bounded table and only new words go to
 the tokenizer's model. That equals tokenizing whole texts because the tokenizer
@@ -106,7 +107,7 @@ def pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT, end: int = END, with_ids: bool = True, in_file_order: bool = False
 ) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece.
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket[, ids]) for each piece.
 
     Null is the empty text, of the end id alone. Every row of the input gives its own pieces,
     so repeated rows and null ids give repeated pieces with sequences of their own. ``in_file_order``: ids follow
@@ -141,13 +142,19 @@ def pack(
                         serials[part_of] += 1
                 cols = list(zip(*rows))
                 out = [b.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in cols[:6])]
+                out.append(pa.array([n.bit_length() - 1 for n in cols[1]], pa.int32()))
                 if with_ids:
                     raw = np.frombuffer(b"".join(cols[6]), "<i4")
                     off = np.concatenate([[0], np.cumsum(cols[1])]).astype(np.int32)
                     out.append(pa.ListArray.from_arrays(pa.array(off), pa.array(raw)))
-                yield pa.RecordBatch.from_arrays(out, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
+                yield pa.RecordBatch.from_arrays(out, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", *["ids"] * with_ids])
         t.known.clear()  # the worker may go on to other work
 
     src = df.select(id_col, text_col, *[block] * bool(ranks))
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    return src.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids)
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """The sequences as Parquet, a folder for each length; a batch from one folder needs no padding."""
+    packed.write.partitionBy("bucket").parquet(path)

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from siftstone.llm.packing import END, WordTokenizer, pack, pieces, tokenizer_path
+from siftstone.llm.packing import END, WordTokenizer, pack, pieces, tokenizer_path, write_buckets
 
 
 def test_word_table_equals_whole_tokenizer():
@@ -30,7 +30,7 @@ def test_pieces_are_binary_and_whole():
         assert len(p) == n // 4096 + bin(n % 4096).count("1")
 
 
-def test_frames(spark):
+def test_frames(spark, tmp_path):
     rows = [(1, None, 9), (2, "", 9), (2, "Hello, world! " * 9000, 9), (None, "abc", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length long").repartition(3)
     got = pack(df).collect()
@@ -47,4 +47,8 @@ def test_frames(spark):
         by.setdefault(r.length, []).append(r.sequence_id)
     spans = sorted((min(v), max(v)) for v in by.values())
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    write_buckets(pack(df), str(tmp_path / "packed"))
+    for k in {r.length.bit_length() - 1 for r in got}:
+        assert {r.length for r in spark.read.parquet(str(tmp_path / "packed" / f"bucket={k}")).collect()} == {1 << k}
+    assert all(1 << r.bucket == r.length for r in got)
     assert pack(df.limit(0)).count() == 0
