@@ -74,6 +74,38 @@ def test_taken_rows_and_sequences_follow_the_curriculum(spark, tmp_path):
     assert [r.doc_id for r in mixing.take(df).collect()] == want
 
 
+def test_place_in_the_stream(spark):
+    """A copy's place is the share of all words before it, up to a document a source."""
+    rows = [(i, "a b c", f"s{i % 3}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r for r in mixing.mix(df).collect() if r.position is not None), key=lambda r: r.position)
+    c = mixing.curriculum(df).collect()
+    total, before, at = sum(r.words for r in c), {}, 0
+    for r in c:
+        before.setdefault(r.doc_id, at)
+        at += r.words
+    assert [r.place for r in got] == sorted(r.place for r in got)
+    assert max(abs(r.place - before[r.doc_id] / total) for r in got) < 0.01
+
+
+def test_hot_ids(spark):
+    """A third of the rows without an id; alike ones too."""
+    rows = [(i, "a b c " * (i % 5), f"s{i % 3}") for i in range(600)] + [(None, "x y", "s0")] * 200 + [(None, "z " * (i % 4), None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    m = mixing.mix(df).collect()
+    assert len(m) == len(rows)
+    taken = mixing.take(df).collect()
+    assert sum(len(r.text.split()) for r in taken) == sum(r.taken for r in m)
+    assert sum(len(r.text.split()) for r in taken if r.doc_id is None) == sum(r.taken for r in m if r.doc_id is None)
+
+
+def test_query_is_in_training_order(spark, tmp_path):
+    rows = [(i, "a b c " * (i % 5), f"s{i % 3}") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.position is not None, r.position) for r in mixing.op9(spark, str(tmp_path)).collect()]
+    assert got == sorted(got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
