@@ -7,6 +7,7 @@ empty, in slices of a few megabytes, so a worker's memory is set by the slice
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -132,6 +133,15 @@ def word_hashes(data, off):
     return ranges_hash(data, starts, ends), first, starts, ends
 
 
+def released() -> None:
+    """Gives what a worker has freed back to the system, as the worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def sha(data) -> str:
     return hashlib.sha256(data).hexdigest()
 

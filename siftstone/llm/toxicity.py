@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, flat, mix, prefix_sums, ranges_hash, text_array
+from .common import U64, chunks, flat, mix, prefix_sums, ranges_hash, released, text_array
 from .langid import held_out
 
 SAMPLE = 2500
 STEPS, RATE, G_LEAST, LEAST, L2 = 40, 0.5, 25.0, 3, 1e-4
 PIECE = 256
+SLICE, SCORED = 100_000, 1 << 20  # tokens of the fit, bytes of scored texts at a time
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -263,66 +264,86 @@ def fit(texts: list[str], toxic: list[int], weight: dict[int, float]) -> Model:
     parts, first = [], [0]
     for i in range(0, len(texts), 200):
         own, _, _, begin = tokens(*flat(text_array(pa.array(texts[i : i + 200], pa.large_string()))))
-        parts.append(own)
+        parts.append(list(own))
         first += (first[-1] + begin[1:]).tolist()
-    feats, first = np.concatenate(parts, 1), np.array(first)
-    del parts
-    share = _shares(feats[0], first, y)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    first, kinds = np.array(first), len(parts[0])
+    share = _shares(np.concatenate([p[0] for p in parts]), first, y)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
     # kinds of features one by one, for memory
-    keys, at, a, b = [], np.empty(feats.shape, np.int32), [], []
-    for j in range(len(feats)):
-        own, place = np.unique(feats[j], return_inverse=True)
-        d, k = np.divmod(np.unique(doc * max(len(own), 1) + place), max(len(own), 1))
+    keys, at, a, b = [], [], [], []
+    for j in range(kinds):
+        own, place = np.unique(np.concatenate([p[j] for p in parts]), return_inverse=True)
+        for p in parts:
+            p[j] = None
+        d, k = np.divmod(np.unique(doc * np.int64(max(len(own), 1)) + place), max(len(own), 1))
         a.append(np.bincount(k[y[d]], share[d[y[d]]], minlength=len(own)))
         b.append(np.bincount(k[~y[d]], share[d[~y[d]]], minlength=len(own)))
-        at[j] = place + sum(map(len, keys))
+        at.append((place + sum(map(len, keys))).astype(np.int32))
         keys.append(own)
         del place, d, k
-    del feats  # what follows needs the places of features alone
     keys, a, b = np.concatenate(keys), np.concatenate(a), np.concatenate(b)
     na, nb = share[y].sum(), share[~y].sum()
     telling = (_g(a, b, na, nb) >= G_LEAST) & (a * nb > 9 * b * na)
-    tag = (np.any([telling[x] for x in at], axis=0) & y[doc]).astype(float)
+    tag = np.any([telling[x] for x in at], axis=0) & y[doc]
     used = a + b > LEAST - 1e-6
     w, bias, trans = np.zeros(int(used.sum())), -5.0, np.zeros((2, 2))
-    dense = np.where(used, np.cumsum(used) - 1, len(w)).astype(np.int32)[at]  # len(w): none
-    part = share[doc]
-    del at, doc
-
-    def summed(v):
-        return sum(np.bincount(x, v, len(w) + 1) for x in dense)[:-1]
-
-    def emissions():
+    to = np.where(used, np.cumsum(used) - 1, len(w)).astype(np.int32)  # len(w): none
+    for j in range(kinds):
+        at[j] = to[at[j]]
+    del doc
+
+    def slices():
+        """(tokens from, to, first tokens, the weight of each) of runs of texts, for memory."""
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(first, first[i] + SLICE, "right")) - 1)
+            yield first[i], first[j], first[i : j + 1] - first[i], np.repeat(share[i:j], np.diff(first[i : j + 1]))
+            i = j
+
+    def summed(v, lo, hi):
+        return sum(np.bincount(x[lo:hi], v, len(w) + 1) for x in at)[:-1]
+
+    def emissions(lo, hi):
         padded = np.append(w, 0.0)
-        return np.exp(np.clip(sum(padded[x] for x in dense) + bias, -30, 30))
-
-    inner = np.ones(len(tag), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False  # tokens with a predecessor
-    prev = np.flatnonzero(inner) - 1
-    seen_bias, seen_trans, seen_w = (tag * part).sum(), np.zeros((2, 2)), summed(tag * part)
-    np.add.at(seen_trans, (tag[prev].astype(int), tag[prev + 1].astype(int)), part[prev])
+        return np.exp(np.clip(sum(padded[x[lo:hi]] for x in at) + bias, -30, 30))
+
+    def before(own):
+        """Tokens that have a next one."""
+        inner = np.ones(own[-1], bool)
+        inner[own[:-1][np.diff(own) > 0]] = False
+        return np.flatnonzero(inner) - 1
+
+    seen_w, seen_bias, seen_trans = np.zeros(len(w)), 0.0, np.zeros((2, 2))
+    for lo, hi, own, part in slices():
+        t, prev = tag[lo:hi].astype(int), before(own)
+        seen_w += summed(t * part, lo, hi)
+        seen_bias += (t * part).sum()
+        np.add.at(seen_trans, (t[prev], t[prev + 1]), part[prev])
     gw, gb, gt = np.full(len(w), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    size = float(share @ np.diff(first))
     for _ in range(STEPS if len(tag) else 0):
-        e = emissions()
-        f, q = messages(e, first, trans)
-        m = f * q / (1 + f * q) * part
         t = np.exp(trans)
-        x = e[prev + 1] * q[prev + 1]
-        del e, q
-        joint = [np.full(len(prev), t[0, 0]), t[0, 1] * x, t[1, 0] * f[prev], t[1, 1] * f[prev] * x]
-        z = (joint[0] + joint[1] + joint[2] + joint[3]) / part[prev]
-        pairs = np.array([(j / z).sum() for j in joint])
-        del joint, z, x, f
-        dw = seen_w - summed(m) - L2 * part.sum() / max(len(w), 1) * w
-        db, dt = seen_bias - m.sum(), seen_trans - pairs.reshape(2, 2)
+        dw, db, dt = seen_w - L2 * size / max(len(w), 1) * w, seen_bias, seen_trans.copy()
+        for lo, hi, own, part in slices():
+            e, prev = emissions(lo, hi), before(own)
+            f, q = messages(e, own, trans)
+            m = f * q / (1 + f * q) * part
+            x = e[prev + 1] * q[prev + 1]
+            joint = [np.full(len(prev), t[0, 0]), t[0, 1] * x, t[1, 0] * f[prev], t[1, 1] * f[prev] * x]
+            z = part[prev] / (joint[0] + joint[1] + joint[2] + joint[3])
+            dw -= summed(m, lo, hi)
+            db -= m.sum()
+            dt -= np.array([j @ z for j in joint]).reshape(2, 2)
         gw, gb, gt = gw + dw * dw, gb + db * db, gt + dt * dt
         w += RATE * dw / np.sqrt(gw)
         bias += RATE * db / np.sqrt(gb)
         trans += RATE * dt / np.sqrt(gt)
     model = Model(*_slots(keys[used], w), float(bias), trans)
-    f, q = messages(emissions(), first, trans)
-    model.score = _logistic(_summary(f * q / (1 + f * q), first), y.astype(float), np.array([weight[int(v)] for v in y]))
+    found = []
+    for lo, hi, own, _ in slices():
+        f, q = messages(emissions(lo, hi), own, trans)
+        found.append(_summary(f * q / (1 + f * q), own))
+    model.score = _logistic(np.concatenate(found), y.astype(float), np.array([weight[int(v)] for v in y]))
     return model
 
 
@@ -358,6 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         else:  # labels of a class belong to no document
             model = Model(score=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        released()
 
     # at most 2 * sample rows, fitted in one task to spare the driver
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
@@ -389,7 +411,7 @@ def score_toxicity(df: DataFrame, model: Model, keep: list[str], text_col: str =
 
     def run(batches):
         model = shared.value
-        for b, _, data, off in chunks(batches, "__text", 4 << 20):
+        for b, _, data, off in chunks(batches, "__text", SCORED):
             feats, s, e, first = tokens(data, off)
             p = model.marginals(feats, first) if len(s) else np.zeros(0)
             score = model.document(p, first)
@@ -410,7 +432,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches):
         model = shared.value
-        for b, _, data, off in chunks(batches, text_col, 4 << 20):
+        for b, _, data, off in chunks(batches, text_col, SCORED):
             feats, _, _, first = tokens(data, off)
             p = model.marginals(feats, first) if first[-1] else np.zeros(0)
             yield b.filter(pa.array(model.document(p, first) < 0.5))
