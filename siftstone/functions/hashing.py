@@ -78,6 +78,10 @@ def md5_hash(word: Column) -> Column:
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
+def term_hash(term: Column, hash_fn: str = "sip13") -> Column:
+    return sip_hash(term) if hash_fn == "sip13" else md5_hash(term)
+
+
 def to_hex(c) -> Column:
     """16 lower-case digits of a bit pattern."""
     return F.lpad(F.lower(F.hex(c)), 16, "0")
@@ -96,39 +100,65 @@ def hamming(a, b) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def is_near_duplicate(a, b, threshold: int = 3) -> Column:
+    """Whether two fingerprints differ in at most that many bits."""
+    return hamming(a, b) <= threshold
+
+
 def simhash_bits(weight: Column, h: Column) -> list[Column]:
     """64 aggregates: for every bit the sum of weights, negative where the bit isn't set."""
     return [F.sum(F.when(h.bitwiseAND(F.lit(1 << i if i < 63 else -(1 << 63))) != 0, weight).otherwise(-weight)).alias(f"b{i}") for i in range(64)]
 
 
 def simhash(terms: DataFrame, id_col: str = "row_idx", hash_fn: str = "sip13") -> DataFrame:
-    """(id, fingerprint) from rows (id, term, weight); weight is the whole contribution of the term.
+    """(id, fingerprint) from rows (id, term, weight[, h]); weight is the whole contribution of the term, h its hash.
 
-    The vocabulary is hashed once a term; votes are summed before the shuffle by id.
+    Without h the vocabulary is hashed once a term; votes are summed before the shuffle by id.
     """
-    h = sip_hash("term") if hash_fn == "sip13" else md5_hash(F.col("term"))
-    vocab = terms.select("term").distinct().select("term", h.alias("h"))
-    votes = terms.join(vocab, "term").groupBy(id_col).agg(*simhash_bits(F.col("weight"), F.col("h")))
+    if "h" not in terms.columns:
+        terms = terms.join(terms.select("term").distinct().select("term", term_hash(F.col("term"), hash_fn).alias("h")), "term")
+    votes = terms.groupBy(id_col).agg(*simhash_bits(F.col("weight"), F.col("h")))
     bits = F.lit(0).cast("long")
     for i in range(64):
         bits = bits.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
     return votes.select(id_col, bits.alias("fingerprint"))
 
 
-def minhash_signature(words: list[str], perms: int = 128) -> np.ndarray:
-    """Least hash of the words under each keyed permutation, unsigned; all ones without words."""
+def least_hashes(words: list[str], row: np.ndarray, at: np.ndarray, rows: int, perms: int = 128) -> np.ndarray:
+    """(rows, perms): for each row the least hash of its words under each keyed permutation, unsigned; all ones without
+    words. Row i has the words ``at[row == i]``; rows ascend. Every word is hashed once."""
     i = np.arange(perms, dtype=_U)
-    if not words:
-        return np.full(perms, _M, _U)
     with np.errstate(over="ignore"):
         k0, k1 = i * _U(6364136223846793005) + _U(1), i * _U(1442695040888963407) + _U(7)
-    return token_hashes(sorted(set(words)), k0[:, None], k1[:, None]).min(1)
+    out = np.full((rows, perms), _M, _U)
+    if not len(row):
+        return out
+    table = np.empty((len(words), perms), _U)
+    for lo in range(0, len(words), 2048):
+        table[lo : lo + 2048] = token_hashes(words[lo : lo + 2048], k0[:, None], k1[:, None]).T
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    for lo in range(0, len(begin), 64):
+        j = begin[lo + 64] if lo + 64 < len(begin) else len(row)
+        out[row[begin[lo : lo + 64]]] = np.minimum.reduceat(table[at[begin[lo] : j]], begin[lo : lo + 64] - begin[lo], axis=0)
+    return out
+
+
+def minhash_signature(words: list[str], perms: int = 128) -> np.ndarray:
+    """Least hash of the words under each keyed permutation, unsigned; all ones without words."""
+    words = sorted(set(words))
+    return least_hashes(words, np.zeros(len(words), np.int64), np.arange(len(words)), 1, perms)[0]
 
 
 def minhash_udf(perms: int = 128):
+    """MinHash of a column of word lists; a batch's different words are hashed once."""
+
     @F.pandas_udf("array<long>")
     def sign(words: pd.Series) -> pd.Series:
-        return pd.Series([minhash_signature([] if w is None else list(w), perms).view(np.int64) for w in words])
+        lists = [[] if w is None else list(w) for w in words]
+        place: dict[str, int] = {}
+        at = np.array([place.setdefault(w, len(place)) for x in lists for w in x], np.int64)
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        return pd.Series(list(least_hashes(list(place), row, at, len(lists), perms).view(np.int64)))
 
     return sign
 

@@ -15,6 +15,9 @@ STOPWORDS = sorted(
 #: Unicode words: letters with marks joined by mid-letter signs, digits joined by mid-number signs, connectors.
 WORD = r"(?:\p{L}\p{M}*(?:['’.:·]\p{L}\p{M}*)*|\p{N}(?:['’.,;]\p{N})*|_)+"
 
+#: The same words in lower-case text, with runs of plain letters taken at once and nothing tried again.
+_JAVA_WORD = r"(?:[a-z]++\p{M}*+(?:['’.:·]\p{L}\p{M}*+)*+|\p{L}\p{M}*+(?:['’.:·]\p{L}\p{M}*+)*+|\p{N}(?:['’.,;]\p{N})*+|_)++"
+
 
 def _s(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -31,7 +34,7 @@ def is_term(word: Column) -> Column:
 
 
 def raw_words(c) -> Column:
-    return F.regexp_extract_all(F.lower(_s(c)), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(_s(c)), F.lit(_JAVA_WORD), F.lit(0))
 
 
 def tokens(c) -> Column:

@@ -7,33 +7,37 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing
-from ..functions.text import is_term, raw_words
+from ..functions import hashing, terms
+from ..functions.terms import term_counts
+from .graph import saved
 
 
 def with_row_index(df: DataFrame, col: str = "row_idx") -> DataFrame:
-    """Positions from 0 in the input's order, without a single-partition window."""
-    rdd = df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return df.sparkSession.createDataFrame(rdd, df.schema.add(col, "long"))
-
-
-def term_counts(df: DataFrame, id_col: str, field: str) -> DataFrame:
-    """(id, term, tf); rows without terms give none. Partly counted before the shuffle."""
-    words = df.select(id_col, F.explode(raw_words(field)).alias("term")).where(is_term(F.col("term")))
-    return words.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Positions from 0 in the input's order: the number within the partition and the sizes of those before, of which
+    the driver sees one number each."""
+    mid = F.monotonically_increasing_id()
+    part, within = F.shiftright(mid, 33), mid.bitwiseAND(F.lit((1 << 33) - 1))
+    sizes, before, above = df.groupBy(part.alias("p")).count().collect(), 0, []
+    for r in sorted(sizes):
+        above.append((r.p, before))
+        before += r["count"]
+    above = df.sparkSession.createDataFrame(above, "__p long, __above long")
+    rows = df.withColumns({"__p": part, "__within": within}).join(F.broadcast(above), "__p")  # a row for each partition
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c != col), (F.col("__above") + F.col("__within")).alias(col))
 
 
 def idf(n: int, df: Column) -> Column:
     return F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5) + 1)
 
 
-def tfidf(df: DataFrame, id_col: str, field: str) -> DataFrame:
-    """(id, term, tf, dl, df, idf, weight) of every term of every row."""
-    tf = term_counts(df, id_col, field)
-    n = df.count()
-    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf(n, F.col("df")))
-    both = tf.join(freq, "term").withColumn("dl", F.sum("tf").over(Window.partitionBy(id_col)))
-    return both.withColumn("weight", F.col("tf") / F.col("dl") * F.col("idf"))
+def tfidf(df: DataFrame, id_col: str, field: str, hash_fn: str | None = None) -> DataFrame:
+    """(id, term, tf, dl, df, idf, weight[, h]) of every term of every row; h is the term's hash. Texts are read
+    once, into a table of counted terms."""
+    tf = saved(term_counts(df, id_col, field))
+    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf(df.count(), F.col("df")))
+    if hash_fn:
+        freq = freq.withColumn("h", hashing.term_hash(F.col("term"), hash_fn))
+    return tf.join(freq, "term").withColumn("weight", F.col("tf") / F.col("dl") * F.col("idf"))
 
 
 def top_terms(df: DataFrame, id_col: str, field: str, count: int = 5) -> DataFrame:
@@ -52,12 +56,11 @@ def tags(df: DataFrame, field: str = "content", count: int = 5, id_col: str = "r
 
 def fingerprints(df: DataFrame, field: str = "content", weighted: bool = False, id_col: str = "row_idx", hash_fn: str = "sip13") -> DataFrame:
     """(id, fingerprint) of every row, 0 without terms."""
-    if weighted:
-        # once for each occurrence: tf times the weight of one
-        terms = tfidf(df, id_col, field).select(id_col, "term", (F.col("tf") * F.col("weight")).alias("weight"))
-    else:
-        terms = term_counts(df, id_col, field).select(id_col, "term", F.col("tf").alias("weight"))
-    return df.select(id_col).join(hashing.simhash(terms, id_col, hash_fn), id_col, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit(0)))
+    if not weighted:
+        return terms.fingerprints(df, id_col, field, hash_fn)
+    # once for each occurrence: tf times the weight of one
+    found = tfidf(df, id_col, field, hash_fn).select(id_col, "term", (F.col("tf") * F.col("weight")).alias("weight"), "h")
+    return df.select(id_col).join(hashing.simhash(found, id_col), id_col, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit(0)))
 
 
 def fingerprint(df: DataFrame, field: str = "content", weighted: bool = False, id_col: str = "row_idx", hash_fn: str = "sip13") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,28 +15,34 @@ from .graph import components, saved
 STRATEGIES = ("url", "fuzzy", "combined")
 
 
-def bands(fp: Column, threshold: int) -> Column:
-    """Keys of which pairs within the distance share one. Up to 15 that is certain with threshold + 1
-    disjoint bands; above, 16 bands of 4 bits, as the reference has."""
-    count = threshold + 1 if threshold < 16 else 16
+def masks(threshold: int, lossless: bool = True) -> list[int]:
+    """Bit masks such that fingerprints within the distance agree under one at least.
+
+    64 bits are cut into threshold + r blocks; of fingerprints that differ in at most ``threshold`` bits r blocks are equal, so
+    every r blocks are a mask. More blocks a mask give longer keys, which few unequal fingerprints share: 3 up to a
+    threshold of 3 (20 keys of 32 bits), 2 up to 7, else 1. Above 15, or without ``lossless``, 16 blocks of 4 bits, as the
+    reference's index has, whose pairs with no equal block are missing there too.
+    """
+    together = 3 if threshold <= 3 else 2 if threshold <= 7 else 1
+    count = threshold + together
+    if not lossless or threshold > 15:
+        count, together = 16, 1
     edges = [64 * i // count for i in range(count + 1)]
-    keys = []
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = F.shiftrightunsigned(fp, lo) if lo else fp
-        part = part.bitwiseAND(F.lit((1 << (hi - lo)) - 1)) if hi - lo < 64 else part
-        keys.append(F.struct(F.lit(k).alias("band"), part.alias("value")))
-    return F.array(*keys)
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    return [sum(x) for x in combinations(blocks, together)]
 
 
-def hamming_pairs(fps: DataFrame, threshold: int = 3, fp_col: str = "fingerprint") -> DataFrame:
+def hamming_pairs(fps: DataFrame, threshold: int = 3, fp_col: str = "fingerprint", lossless: bool = True) -> DataFrame:
     """(a, b, distance) of different fingerprints within the distance, a < b, once each. Equal ones are one
-    row before the join, so copies never meet; a pair is given in the first band it shares alone."""
-    own = fps.select(F.col(fp_col).alias("fp")).distinct().select("fp", bands(F.col("fp"), threshold).alias("keys"))
-    keyed = own.select("fp", "keys", F.posexplode("keys").alias("k", "key"))
-    a, b = keyed.select(F.col("fp").alias("a"), F.col("keys").alias("ka"), "k", "key"), keyed.select(F.col("fp").alias("b"), F.col("keys").alias("kb"), "key")
-    near = hashing.hamming("a", "b")
-    first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), True) == F.col("k") + 1
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (near <= threshold) & first).select("a", "b", near.cast("int").alias("distance"))
+    row before the join, so copies never meet; a pair is given under the first mask it agrees under alone."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(threshold, lossless)]
+    own = fps.select(F.col(fp_col).alias("fp")).distinct()
+    keyed = own.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("k", "key"))
+    a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(signed)])
+    near = F.bit_count(x)
+    return a.join(b, ["k", "key"]).where((F.col("a") < F.col("b")) & (near <= threshold) & (first == F.col("k"))).select("a", "b", near.cast("int").alias("distance"))
 
 
 def dedup(

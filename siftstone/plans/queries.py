@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import distance, hashing, text, url
+from ..functions import distance, hashing, terms, text, url
 from ..operators import cluster, corpus, dedup, organize, profile, sample, topics
 
 QUERIES: dict = {}
@@ -277,7 +277,7 @@ def word_ngrams(spark, sf_dir):
 
 @query("minhash_signatures")
 def minhash_signatures(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", hashing.minhash_udf()(text.tokens("text")).alias("signature"))
+    return terms.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("minhash_lsh_candidates")
