@@ -113,6 +113,7 @@ def simhash_bits(weight: Column, h: Column) -> list[Column]:
 def simhash(terms: DataFrame, id_col: str = "row_idx", hash_fn: str = "sip13") -> DataFrame:
     """(id, fingerprint) from rows (id, term, weight[, h]); weight is the whole contribution of the term, h its hash.
 
+    Sums are rounded to 9 places, so that weights which cancel are a tie in whatever order they are added.
     Without h the vocabulary is hashed once a term; votes are summed before the shuffle by id.
     """
     if "h" not in terms.columns:
@@ -120,10 +121,20 @@ def simhash(terms: DataFrame, id_col: str = "row_idx", hash_fn: str = "sip13") -
     votes = terms.groupBy(id_col).agg(*simhash_bits(F.col("weight"), F.col("h")))
     bits = F.lit(0).cast("long")
     for i in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
+        bits = bits.bitwiseOR(F.when(F.round(f"b{i}", 9) > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)))
     return votes.select(id_col, bits.alias("fingerprint"))
 
 
+def simhash_lists(words: pd.Series) -> pd.Series:
+    """The fingerprint of each list of terms, every occurrence counted, as 16 digits."""
+    out = []
+    for own in words:
+        h = token_hashes([] if own is None else list(own))
+        votes = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64).sum(0) * 2 - len(h)
+        out.append(np.packbits(votes > 0).tobytes().hex())
+    return pd.Series(out)
+
+
 def least_hashes(words: list[str], row: np.ndarray, at: np.ndarray, rows: int, perms: int = 128) -> np.ndarray:
     """(rows, perms): for each row the least hash of its words under each keyed permutation, unsigned; all ones without
     words. Row i has the words ``at[row == i]``; rows ascend. Every word is hashed once."""

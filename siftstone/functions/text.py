@@ -16,7 +16,7 @@ STOPWORDS = sorted(
 WORD = r"(?:\p{L}\p{M}*(?:['’.:·]\p{L}\p{M}*)*|\p{N}(?:['’.,;]\p{N})*|_)+"
 
 #: The same words in lower-case text, with runs of plain letters taken at once and nothing tried again.
-_JAVA_WORD = r"(?:[a-z]++\p{M}*+(?:['’.:·]\p{L}\p{M}*+)*+|\p{L}\p{M}*+(?:['’.:·]\p{L}\p{M}*+)*+|\p{N}(?:['’.,;]\p{N})*+|_)++"
+JAVA_WORD = r"(?:[a-z]++\p{M}*+(?:['’.:·]\p{L}\p{M}*+)*+|\p{L}\p{M}*+(?:['’.:·]\p{L}\p{M}*+)*+|\p{N}(?:['’.,;]\p{N})*+|_)++"
 
 
 def _s(c) -> Column:
@@ -34,7 +34,7 @@ def is_term(word: Column) -> Column:
 
 
 def raw_words(c) -> Column:
-    return F.regexp_extract_all(F.lower(_s(c)), F.lit(_JAVA_WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(_s(c)), F.lit(JAVA_WORD), F.lit(0))
 
 
 def tokens(c) -> Column:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "1"
@@ -27,17 +25,26 @@ def args_hash(args: dict) -> str:
 
 
 class Cache:
-    def __init__(self, path: str):
-        self.path = path
-        os.makedirs(path, exist_ok=True)
+    """Artifacts below a folder of any file system that Spark reaches."""
+
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path.rstrip("/"), spark or SparkSession.getActiveSession()
+        self._path = self.spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.path))
+
+    def _at(self, *names: str):
+        return self._path("/".join([self.path, *names]))
 
     def _manifests(self) -> list[dict]:
+        """All manifests, one a folder; a folder without one isn't finished."""
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at())]
         out = []
-        for name in os.listdir(self.path):
-            file = os.path.join(self.path, name, "manifest.json")
-            if os.path.exists(file):
-                with open(file) as f:
-                    out.append(json.load(f) | {"dir": name})
+        for name in names:
+            if self._fs.exists(self._at(name, "manifest.json")):
+                stream = self._fs.open(self._at(name, "manifest.json"))
+                out.append(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"dir": name})
+                stream.close()
         return sorted(out, key=lambda m: (-m["created_at"], m["dir"]))
 
     def _find(self, kind: str, content: str, args: dict) -> dict | None:
@@ -48,21 +55,21 @@ class Cache:
         m = self._find(kind, content, args)
         if m is None or row_count not in (None, m["row_count"]):
             return None
-        return spark.read.parquet(os.path.join(self.path, m["dir"], "data"))
+        return spark.read.parquet(f"{self.path}/{m['dir']}/data")
 
     def put(self, df: DataFrame, kind: str, content: str, args: dict, row_count: int) -> DataFrame:
         """Writes the data, then its manifest, then drops what it replaces."""
         old = [m for m in self._manifests() if (m["kind"], m["content_hash"], m["args_hash"]) == (kind, content, args_hash(args))]
         name = uuid.uuid4().hex
-        home = os.path.join(self.path, name)
-        df.write.parquet(os.path.join(home, "data"))
+        df.write.parquet(f"{self.path}/{name}/data")
         meta = {"kind": kind, "content_hash": content, "args_hash": args_hash(args), "row_count": row_count, "version": VERSION, "created_at": time.time()}
-        with open(os.path.join(home, "manifest.tmp"), "w") as f:
-            json.dump(meta, f)
-        os.rename(os.path.join(home, "manifest.tmp"), os.path.join(home, "manifest.json"))
+        stream = self._fs.create(self._at(name, "manifest.tmp"))
+        stream.write(bytearray(json.dumps(meta).encode()))
+        stream.close()
+        self._fs.rename(self._at(name, "manifest.tmp"), self._at(name, "manifest.json"))
         for m in old:
-            shutil.rmtree(os.path.join(self.path, m["dir"]))
-        return df.sparkSession.read.parquet(os.path.join(home, "data"))
+            self._fs.delete(self._at(m["dir"]), True)
+        return df.sparkSession.read.parquet(f"{self.path}/{name}/data")
 
     def cached(self, df: DataFrame, kind: str, args: dict, make) -> DataFrame:
         """``make(df)``, kept for the same content and arguments."""
@@ -70,13 +77,15 @@ class Cache:
         found = self.get(df.sparkSession, kind, content, args, n)
         return self.put(make(df), kind, content, args, n) if found is None else found
 
+    def _size(self, *names: str) -> int:
+        return self._fs.getContentSummary(self._at(*names)).getLength()
+
     def info(self) -> dict:
-        size = lambda d: sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(d) for f in fs)
-        arts = [{k: v for k, v in m.items() if k != "dir"} | {"payload_bytes": size(os.path.join(self.path, m["dir"], "data"))} for m in self._manifests()]
-        return {"path": self.path, "size_bytes": size(self.path), "total": len(arts), "artifacts": arts}
+        arts = [{k: v for k, v in m.items() if k != "dir"} | {"payload_bytes": self._size(m["dir"], "data")} for m in self._manifests()]
+        return {"path": self.path, "size_bytes": self._size(), "total": len(arts), "artifacts": arts}
 
     def clear(self, kind: str | None = None) -> dict:
         gone = [m for m in self._manifests() if kind in (None, m["kind"])]
         for m in gone:
-            shutil.rmtree(os.path.join(self.path, m["dir"]))
+            self._fs.delete(self._at(m["dir"]), True)
         return {"path": self.path, "deleted": len(gone), "kind": kind or "all"}

@@ -77,10 +77,10 @@ def cut_tree(merges: list, n: int, k: int, compat: bool = False) -> list[int]:
 
 def _clustered(rows: DataFrame, field: str, k: int, linkage: str, compat: bool):
     """(ids in order, term weights of each, labels) of a bounded table."""
-    ids = sorted(r.row_idx for r in rows.select("row_idx").collect())
-    n = len(ids)
+    n = rows.limit(MAX_ITEMS + 1).count()
     if n > MAX_ITEMS:
-        raise ValueError(f"{n} rows are too many to cluster exactly (at most {MAX_ITEMS}); discover a taxonomy from a sample instead")
+        raise ValueError(f"more rows than can be clustered exactly ({MAX_ITEMS}); discover a taxonomy from a sample instead")
+    ids = sorted(r.row_idx for r in rows.select("row_idx").collect())
     place = {r: i for i, r in enumerate(ids)}
     weights = tfidf(rows, "row_idx", field).select("row_idx", "term", "weight")
     vectors: list[dict[str, float]] = [{} for _ in ids]
@@ -133,9 +133,9 @@ def discover(df: DataFrame, field: str = "content", clusters: int = 15, sample_s
     return empty
 
 
-def classify_auto(df: DataFrame, field: str = "content", taxonomy: dict | None = None, clusters: int = 15, sample_size: int = 500, threshold: float = 0.5, seed: int = 42, id_col: str = "row_idx") -> DataFrame:
+def classify_auto(df: DataFrame, field: str = "content", taxonomy: dict | None = None, clusters: int = 15, sample_size: int = 500, threshold: float = 0.5, seed: int = 42, id_col: str = "row_idx", linkage: str = "ward") -> DataFrame:
     """``classify`` by the given taxonomy or a discovered one."""
     if taxonomy is None:
         rows = df if id_col == "row_idx" else df.withColumn("row_idx", F.col(id_col))
-        taxonomy = discover(rows, field, clusters, sample_size, seed)
+        taxonomy = discover(rows, field, clusters, sample_size, seed, linkage)
     return classify(df, taxonomy, field, threshold, id_col)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import distance
+from ..functions import url as urls
 from ..functions.text import slugify
+from . import cache as cache_store
 from . import cluster, corpus, dedup, profile, sample, topics
 
 
@@ -65,6 +68,24 @@ def pipeline(df: DataFrame, field: str = "content", url_field: str = "url", clus
 #: Defaults of the three ready-made runs.
 PRESETS = {"stars": {"clusters": 15, "dedup_strategy": "combined"}, "bookmarks": {"clusters": 1000, "count": 10, "dedup_strategy": "fuzzy"}, "directory": {"clusters": 10, "dedup_strategy": None}}
 
+def similarity(df: DataFrame, a: str = "a", b: str = "b", metric: str = "levenshtein", all: bool = False) -> DataFrame:
+    """``df`` with the similarity of two columns, or with ``all`` that of every metric."""
+    if all:
+        return df.withColumns({m: distance.similarity(a, b, m) for m in ("levenshtein", "jaro-winkler", "cosine")})
+    return df.withColumn("metric", F.lit(metric)).withColumn("similarity", distance.similarity(a, b, metric))
+
+
+def normalize_url(df: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with original, normalized and canonical_key; null where a URL can't be parsed."""
+    return df.withColumns({"original": F.col(url), "normalized": urls.normalized(url), "canonical_key": urls.canonical_key(url)})
+
+
+def cache_report(path: str, clear: bool = False, kind: str | None = None) -> dict:
+    """What a cache holds, or what was deleted of it."""
+    found = cache_store.Cache(path)
+    return found.clear(kind) if clear else found.info()
+
+
 OPERATIONS = {
     "fingerprint": corpus.fingerprint,
     "sample": sample.sample,
@@ -72,19 +93,32 @@ OPERATIONS = {
     "classify": cluster.classify_auto,
     "tags": corpus.tags,
     "dedup": dedup.dedup,
+    "similarity": similarity,
+    "normalize_url": normalize_url,
     "generate": cluster.generate,
     "topics": topics.topics,
     "organize": organize,
     "pipeline": pipeline,
 }
+_ROWS_ALONE = ("analyze", "organize", "similarity", "normalize_url")
 
 
-def run(op: str, df: DataFrame, **params):
-    """One operation by name, with the rows' positions added where they are missing."""
+def run(op: str, df: DataFrame | None = None, cache: cache_store.Cache | str | None = None, **params):
+    """One operation by name, with the rows' positions added where they are missing. With a cache, a table that an
+    operation makes is kept for the same rows and parameters. ``cache`` (path, clear, kind) is an operation itself."""
+    if op == "cache":
+        return cache_report(**params)
     if op not in OPERATIONS:
         raise ValueError(f"Unknown operation: {op}")
-    needs = op not in ("analyze", "organize") and "row_idx" not in df.columns and params.get("id_col", "row_idx") == "row_idx"
-    return OPERATIONS[op](corpus.with_row_index(df) if needs else df, **params)
+
+    def make(rows):
+        needs = op not in _ROWS_ALONE and "row_idx" not in rows.columns and params.get("id_col", "row_idx") == "row_idx"
+        return OPERATIONS[op](corpus.with_row_index(rows) if needs else rows, **params)
+
+    if cache is None or op in ("generate", "topics"):  # these give reports, not tables
+        return make(df)
+    store = cache_store.Cache(cache, df.sparkSession) if isinstance(cache, str) else cache
+    return store.cached(df, op, params, make)
 
 
 def register(spark) -> None:
@@ -92,11 +126,17 @@ def register(spark) -> None:
     import pandas as pd
     from pyspark.sql import types as T
 
-    from ..functions import distance, hashing, url
+    from ..functions import hashing, text, url
 
     def mapped(f, kind):
         return F.pandas_udf(lambda s: pd.Series([f(x) for x in s]), kind)
 
     spark.udf.register("normalize_url", mapped(url.normalize_url, T.StringType()))
     spark.udf.register("sip_hash", hashing.sip_hash)
+    # what is an expression in the JVM is a SQL function of that expression
+    word = text.JAVA_WORD.replace("\\", "\\\\").replace("'", "\\'")
+    stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tokenize(s STRING) RETURNS ARRAY<STRING> RETURN filter(regexp_extract_all(lower(coalesce(s, '')), '{word}', 0), t -> octet_length(t) >= 2 AND replace(t, '_', '') <> '' AND t NOT IN ({stop}))")
+    spark.udf.register("simhash", F.pandas_udf(hashing.simhash_lists, T.StringType()))
+    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION slugify(s STRING) RETURNS STRING RETURN trim(BOTH '-' FROM regexp_replace(lower(s), '[^\\p{IsAlphabetic}\\p{N}]+', '-'))")
     spark.udf.register("jaro_winkler", distance.jaro_winkler_similarity)

@@ -22,7 +22,7 @@ def _values(df: DataFrame, fields: list[str]) -> DataFrame:
     cells = []
     for i, c in enumerate(fields):
         t = df.schema[c].dataType
-        text = F.to_json(F.col(f"`{c}`")) if isinstance(t, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{c}`").cast("string")
+        text = F.to_json(F.col(f"`{c}`")) if isinstance(t, (T.ArrayType, T.StructType, T.MapType, T.VariantType)) else F.col(f"`{c}`").cast("string")
         cells.append(F.struct(F.lit(i).alias("pos"), text.alias("value")))
     return df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
@@ -53,6 +53,20 @@ def profile(df: DataFrame, field: str | None = None) -> DataFrame:
     return out.select("column", "type", zero("non_null"), zero("null_count"), zero("cardinality"), ratio("cardinality", "non_null").alias("uniqueness"), ratio("bytes", "non_null").alias("avg_length"), zero("min_length"), zero("max_length"))
 
 
+def type_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(column, type, n): the types of a column's values, most first; many in a variant column, else the declared one."""
+    parts = []
+    for c in fields:
+        t, v = df.schema[c].dataType, F.col(f"`{c}`")
+        kind = F.lit(_kind(t))
+        if isinstance(t, T.VariantType):
+            own = F.schema_of_variant(v)
+            kind = F.when(own.startswith("ARRAY"), "array").when(own.startswith("OBJECT"), "object").when(own == "BOOLEAN", "bool").when(own == "VOID", "null").when(own == "STRING", "string").otherwise("number")
+        parts.append(F.struct(F.lit(c).alias("column"), F.when(v.isNotNull(), kind).alias("type")))
+    cells = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("type IS NOT NULL")
+    return cells.groupBy("column", "type").agg(F.count(F.lit(1)).alias("n")).orderBy("column", F.desc("n"), "type")
+
+
 def top_values(df: DataFrame, field: str | None = None, count: int = 5) -> DataFrame:
     """(column, rank, value, n): the most frequent values, ties by value."""
     fields = [field] if field else df.columns
@@ -70,9 +84,11 @@ def report(df: DataFrame, field: str | None = None) -> dict:
         return {"total_rows": 0, "columns": [], "fields": {}}
     out = {r["column"]: r.asDict() for r in profile(df, field).collect()}
     for v in out.values():
-        v["types"] = [{"type": v.pop("type"), "count": v["non_null"]}] if v["non_null"] else []
-        v["top_values"] = []
+        v["types"], v["top_values"] = [], []
+        v.pop("type")
         v.pop("column")
+    for r in type_counts(df, fields).collect():
+        out[r["column"]]["types"].append({"type": r.type, "count": r.n})
     for r in top_values(df, field).orderBy("column", "rank").collect():
         out[r["column"]]["top_values"].append({"value": r.value, "count": r.n})
     return {"total_rows": total, "columns": fields, "num_columns": len(fields), "fields": out}

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import with_row_index
+from .graph import saved
+
 _M = (1 << 64) - 1
 STRATEGIES = ("random", "systematic", "stratified", "reservoir")
 
@@ -90,6 +93,5 @@ def sample(df: DataFrame, size: int = 100, strategy: str = "random", field: str
     picked = df.sparkSession.createDataFrame(pd.DataFrame({"__i": places}, dtype="int64"), "__i long")
     if dense:
         return df.join(picked, df[id_col] == picked["__i"], "left_semi")
-    ranked = df.select(id_col).orderBy(id_col).rdd.map(lambda r: r[0]).zipWithIndex()
-    ranked = df.sparkSession.createDataFrame(ranked, f"__id {df.schema[id_col].dataType.simpleString()}, __i long").join(picked, "__i", "left_semi")
+    ranked = with_row_index(saved(df.select(F.col(id_col).alias("__id"))).orderBy("__id"), "__i").join(picked, "__i", "left_semi")
     return df.join(ranked, df[id_col] == ranked["__id"], "left_semi")

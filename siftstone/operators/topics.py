@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import tfidf
-from .graph import saved
+from .corpus import tfidf, with_row_index
+from .graph import forget, saved
 
-EPS, DENSE = 1e-10, 20_000_000
+#: NONZEROS: at most so many weights (16 bytes each) are factorised on the driver
+EPS, NONZEROS = 1e-10, 5_000_000
 
 
 def start(i: np.ndarray, width: int) -> np.ndarray:
@@ -27,6 +28,17 @@ def nmf(v: np.ndarray, k: int, iterations: int = 200) -> tuple[np.ndarray, np.nd
     return w, h
 
 
+def nmf_sparse(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: int, k: int, iterations: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a matrix of n rows and m columns given by its cells."""
+    w, h = start(np.arange(n), k), start(np.arange(k), m)
+    for _ in range(iterations):
+        wv = np.stack([np.bincount(col, w[row, t] * value, m) for t in range(k)])
+        h *= wv / (w.T @ w @ h + EPS)
+        vh = np.stack([np.bincount(row, h[t, col] * value, n) for t in range(k)], 1)
+        w *= vh / (w @ (h @ h.T) + EPS)
+    return w, h
+
+
 def _nmf_distributed(rows: DataFrame, k: int, width: int, iterations: int) -> tuple[DataFrame, np.ndarray]:
     """rows: (pos, at array<int>, v array<double>). H, of the limited vocabulary, is on the driver; rows keep
     their W in a table written each round."""
@@ -64,7 +76,8 @@ def _nmf_distributed(rows: DataFrame, k: int, width: int, iterations: int) -> tu
                     new.append(w * (h[:, at] @ np.array(v)) / (w @ hh + EPS))
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.list_(pa.float64()))], ["pos", "at", "v", "w"])
 
-        state = saved(state.mapInArrow(step, schema))
+        old, state = state, saved(state.mapInArrow(step, schema))
+        forget(old)
     return state.select("pos", "w"), h
 
 
@@ -73,7 +86,7 @@ def dominant(w: np.ndarray) -> np.ndarray:
     return w.shape[1] - 1 - w[:, ::-1].argmax(1)
 
 
-def topics(df: DataFrame, field: str = "content", topics: int = 5, terms: int = 10, iterations: int = 200, vocab: int = 5000, id_col: str = "row_idx", dense: int = DENSE):
+def topics(df: DataFrame, field: str = "content", topics: int = 5, terms: int = 10, iterations: int = 200, vocab: int = 5000, id_col: str = "row_idx", dense: int = NONZEROS):
     """(topics, assignments): topics (id, label, size, terms) and (id_col, topic) of every row."""
     n = df.count()
     if not n:
@@ -82,18 +95,16 @@ def topics(df: DataFrame, field: str = "content", topics: int = 5, terms: int =
     weights = saved(tfidf(df, id_col, field).select(id_col, "term", "df", "weight"))
     words = [r.term for r in weights.groupBy("term").agg(F.first("df").alias("df")).orderBy(F.col("df").desc(), "term").limit(vocab).collect()]
     place = spark.createDataFrame(list(enumerate(words)) or [(0, "")], "at int, term string")
-    cells = weights.join(F.broadcast(place), "term").select(id_col, "at", "weight")  # at most ``vocab`` rows
-    if n * max(len(words), 1) <= dense:
-        ids = sorted(r[0] for r in df.select(id_col).collect())
+    cells = saved(weights.join(F.broadcast(place), "term").select(id_col, "at", "weight"))  # at most ``vocab`` rows
+    if cells.limit(dense + 1).count() <= dense and n <= max(dense, 0):
+        ids = sorted(df.select(id_col).toArrow().column(0).to_pylist())
+        found = cells.toArrow()
         row = {x: i for i, x in enumerate(ids)}
-        v = np.zeros((n, len(words)))
-        for r in cells.collect():
-            v[row[r[0]], r.at] = r.weight
-        w, h = nmf(v, topics, iterations)
+        where = np.array([row[x] for x in found.column(0).to_pylist()], np.int64)
+        w, h = nmf_sparse(where, found.column(1).to_numpy().astype(np.int64), found.column(2).to_numpy(), n, len(words), topics, iterations)
         assigned = spark.createDataFrame(list(zip(ids, dominant(w).tolist())), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, topic int")
     else:
-        ranked = df.select(id_col).orderBy(id_col).rdd.map(lambda r: r[0]).zipWithIndex()
-        ranked = saved(spark.createDataFrame(ranked, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, pos long"))
+        ranked = saved(with_row_index(saved(df.select(id_col).orderBy(id_col)).orderBy(id_col), "pos"))
         packed = cells.groupBy(id_col).agg(F.collect_list("at").alias("at"), F.collect_list("weight").alias("v"))
         rows = ranked.join(packed, id_col, "left").select("pos", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("v", F.array().cast("array<double>")).alias("v"))
         w, h = _nmf_distributed(rows, topics, len(words), iterations)

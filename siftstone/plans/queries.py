@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import distance, hashing, terms, text, url
-from ..operators import cluster, corpus, dedup, organize, profile, sample, topics
+from ..operators import cache, cluster, corpus, dedup, organize, profile, sample, topics
+from ..operators.graph import saved
+from ..sources import readers, sinks
+from .siphash_sql import siphash
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,9 +101,9 @@ round(count(DISTINCT v)::DOUBLE / count(v), 9) AS uniqueness, round(sum(strlen(v
 
 _PROFILED = {
     "documents": ["doc_id:number", "text:string", "lang:string", "source:string", "n_chars:number"],
-    "customer": ["c_custkey:number", "c_name:string", "c_nationkey:number", "c_mktsegment:string"],
-    "events": ["event_id:number", "user_id:number", "event_type:string", "props:string"],
-    "lineitem": ["l_orderkey:number", "l_linenumber:number", "l_returnflag:string", "l_linestatus:string"],
+    "customer": ["c_custkey:number", "c_name:string", "c_nationkey:number", "c_acctbal:number", "c_mktsegment:string"],
+    "events": ["event_id:number", "ts:string", "user_id:number", "event_type:string", "value:number", "props:string"],
+    "lineitem": ["l_orderkey:number", "l_partkey:number", "l_suppkey:number", "l_linenumber:number", "l_quantity:number", "l_extendedprice:number", "l_discount:number", "l_tax:number", "l_returnflag:string", "l_linestatus:string", "l_shipdate:string"],
 }
 for _name, _cols in _PROFILED.items():
     _cols = [c.split(":") for c in _cols]
@@ -151,8 +154,9 @@ def dedup_url(spark, sf_dir):
 
 
 _HASHED = "SELECT doc_id, tf, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS h FROM tf"
-_BITS = " + ".join(f"(CASE WHEN sum(CASE WHEN (h & {1 << i}::UBIGINT) <> 0 THEN {{w}} ELSE -{{w}} END) > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END)::HUGEINT" for i in range(64))
-_FP = f"h AS ({_HASHED}), fp0 AS (SELECT doc_id, ({_BITS.format(w='tf')})::UBIGINT AS fp FROM h GROUP BY doc_id), fp AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM documents LEFT JOIN fp0 USING (doc_id))"
+_BITS = " + ".join(f"(CASE WHEN round(sum(CASE WHEN (h & {1 << i}::UBIGINT) <> 0 THEN {{w}} ELSE -{{w}} END), 9) > 0 THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END)::HUGEINT" for i in range(64))
+_FROM_H = "fp0 AS (SELECT doc_id, ({bits})::UBIGINT AS fp FROM h GROUP BY doc_id), fp AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM documents LEFT JOIN fp0 USING (doc_id))"
+_FP = f"h AS ({_HASHED}), {_FROM_H.format(bits=_BITS.format(w='tf'))}"
 _HEX = "lpad(lower(to_hex(fp)), 16, '0')"
 
 
@@ -161,12 +165,12 @@ def simhash_md5(spark, sf_dir):
     return corpus.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", id_col="doc_id", hash_fn="md5").drop("text")
 
 
-@query("simhash_sip13")
+@query("simhash_sip13", f"WITH RECURSIVE {_TF}, {siphash('tf')}, h AS (SELECT doc_id, tf, h FROM tf JOIN sip USING (term)), {_FROM_H.format(bits=_BITS.format(w='tf'))} SELECT doc_id, {_HEX} AS _fingerprint FROM fp")
 def simhash_sip13(spark, sf_dir):
     return corpus.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", id_col="doc_id").drop("text")
 
 
-@query("simhash_weighted")
+@query("simhash_weighted", f"WITH RECURSIVE {_TFIDF}, {siphash('tf')}, h AS (SELECT doc_id, tf * weight AS own, h FROM w JOIN sip USING (term)), {_FROM_H.format(bits=_BITS.format(w='own'))} SELECT doc_id, {_HEX} AS _fingerprint FROM fp")
 def simhash_weighted(spark, sf_dir):
     return corpus.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", True, id_col="doc_id").drop("text")
 
@@ -229,7 +233,15 @@ def sim_cosine(spark, sf_dir):
 
 
 
-@query("sample_random")
+_DRAW = "(({s}::HUGEINT * 6364136223846793005::HUGEINT + 1442695040888963407::HUGEINT) % 18446744073709551616::HUGEINT)"
+#: For every population (k, n, q, seed) its q draws s, and the spot that each takes in a shuffle of n.
+_SHUFFLE = f"""g(k, n, q, i, s, spot, moved) AS (
+SELECT k, n, q, -1, (seed + 1)::HUGEINT, NULL::BIGINT, MAP {{}}::MAP(BIGINT, BIGINT) FROM pop
+UNION ALL SELECT k, n, q, i, s, coalesce(moved[j], j), map_concat(moved, MAP {{j: coalesce(moved[i], i)}}) FROM (
+SELECT *, i + (s % (n - i)::HUGEINT)::BIGINT AS j FROM (SELECT k, n, q, (i + 1)::BIGINT AS i, {_DRAW.format(s='s')} AS s, moved FROM g WHERE i + 1 < q)))"""
+
+
+@query("sample_random", f"WITH RECURSIVE pop AS (SELECT 0 AS k, count(*) AS n, 50 AS q, 42 AS seed FROM documents), {_SHUFFLE} SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT spot FROM g)")
 def sample_random(spark, sf_dir):
     return sample.sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), 50, id_col="doc_id")
 
@@ -239,12 +251,27 @@ def sample_systematic(spark, sf_dir):
     return sample.sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), 50, "systematic", id_col="doc_id")
 
 
-@query("sample_stratified")
+@query(
+    "sample_stratified",
+    f"""WITH RECURSIVE c AS (SELECT lang AS k, count(*) AS n, row_number() OVER (ORDER BY lang) - 1 AS r, count(*) OVER () AS strata, sum(count(*)) OVER () AS total FROM documents GROUP BY lang),
+f AS (SELECT *, CASE WHEN r = strata - 1 THEN NULL ELSE floor(n::DOUBLE / total * 50 + 0.5::DOUBLE)::BIGINT END AS share FROM c),
+pop AS (SELECT k, n, least(coalesce(share, 50 - sum(share) OVER ()), n)::BIGINT AS q, 42 + r AS seed FROM f), {_SHUFFLE},
+d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS spot FROM documents)
+SELECT doc_id, lang FROM d JOIN g ON g.k = d.lang AND g.spot = d.spot""",
+)
 def sample_stratified(spark, sf_dir):
     return sample.sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), 50, "stratified", "lang", id_col="doc_id")
 
 
-@query("sample_reservoir")
+@query(
+    "sample_reservoir",
+    f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
+g(i, s) AS (SELECT 49::BIGINT, 43::HUGEINT UNION ALL SELECT i + 1, {_DRAW.format(s='s')} FROM g, n WHERE i + 1 < n),
+put AS (SELECT (s % (i + 1)::HUGEINT)::BIGINT AS j, max(i) AS i FROM g WHERE i >= 50 AND s % (i + 1)::HUGEINT < 50 GROUP BY 1),
+took AS (SELECT coalesce(put.i, f.j) AS spot FROM (SELECT unnest(range(50)) AS j) f LEFT JOIN put USING (j)),
+c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS spot FROM customer)
+SELECT c_custkey, c_name FROM c JOIN took USING (spot)""",
+)
 def sample_reservoir(spark, sf_dir):
     return sample.sample(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 50, "reservoir", id_col="c_custkey", dense=False)
 
@@ -275,14 +302,27 @@ def word_ngrams(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.word_ngrams(text.tokens("text"), 2), "|")).alias("ngrams_md5"))
 
 
-@query("minhash_signatures")
-def minhash_signatures(spark, sf_dir):
+_KEYS = "SELECT i AS perm, ((i::HUGEINT * 6364136223846793005 + 1) % 18446744073709551616)::UBIGINT AS k0, ((i::HUGEINT * 1442695040888963407 + 7) % 18446744073709551616)::UBIGINT AS k1 FROM range(128) t(i)"
+_MIN = f"""{_TF}, {siphash('tf', _KEYS)}, least AS (SELECT doc_id, perm, min(h) AS m FROM tf JOIN sip USING (term) GROUP BY ALL),
+sig AS (SELECT doc_id, list(CASE WHEN m >= 9223372036854775808 THEN (m::HUGEINT - 18446744073709551616)::BIGINT ELSE m::BIGINT END ORDER BY perm) AS s FROM least GROUP BY doc_id),
+every AS (SELECT doc_id, coalesce(s, list_transform(range(128), lambda i: -1::BIGINT)) AS s FROM documents LEFT JOIN sig USING (doc_id))"""
+
+
+def _signatures(spark, sf_dir):
     return terms.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("minhash_lsh_candidates")
+@query("minhash_signatures", f"WITH RECURSIVE {_MIN} SELECT doc_id, array_to_string(s, ',') AS signature FROM every")
+def minhash_signatures(spark, sf_dir):
+    return _signatures(spark, sf_dir).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query(
+    "minhash_lsh_candidates",
+    f"WITH RECURSIVE {_MIN}, b AS (SELECT doc_id, k, array_to_string(s[8 * k + 1:8 * k + 8], ',') AS v FROM (SELECT *, unnest(range(16)) AS k FROM every)) SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y ON x.k = y.k AND x.v = y.v AND x.doc_id < y.doc_id",
+)
 def minhash_lsh_candidates(spark, sf_dir):
-    return dedup.minhash_candidates(minhash_signatures(spark, sf_dir), "doc_id")
+    return dedup.minhash_candidates(_signatures(spark, sf_dir), "doc_id")
 
 
 _ITEMS = f"documents AS (SELECT item_id AS doc_id, text FROM benchmark), {_TFIDF}"
@@ -308,12 +348,43 @@ def generate_ward(spark, sf_dir):
 @query("classify_auto")
 def classify_auto(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cluster.classify_auto(d, "text", sample_size=300, id_col="doc_id").drop("text")
+    return cluster.classify_auto(d, "text", id_col="doc_id").drop("text")
 
 
 @query("topics_nmf")
 def topics_nmf(spark, sf_dir):
-    return topics.topics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", iterations=50, vocab=1000, id_col="doc_id")[1]
+    return topics.topics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", id_col="doc_id")[1]
+
+
+def _folder(spark):
+    """A folder of its own where ``saved`` tables are."""
+    return saved(spark.range(1))._saved_at + "-out"
+
+
+@query("cached_tags", f"WITH {_TOP} SELECT doc_id, coalesce(string_agg(term, ',' ORDER BY rank), '') AS tags, 1::BIGINT AS artifacts FROM documents LEFT JOIN (SELECT * FROM r WHERE rank <= 5) USING (doc_id) GROUP BY doc_id")
+def cached_tags(spark, sf_dir):
+    """Tags kept by the cache and taken from it the second time."""
+    kept = cache.Cache(_folder(spark), spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for _ in range(2):
+        found = organize.run("tags", d, field="text", id_col="doc_id", cache=kept)
+    return found.select("doc_id", F.array_join("_tags", ",").alias("tags"), F.lit(kept.info()["total"]).cast("long").alias("artifacts"))
+
+
+@query("json_round_trip", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def json_round_trip(spark, sf_dir):
+    """A table written by the JSON sink and read by the JSON source."""
+    path = _folder(spark)
+    sinks.write_json(table(spark, sf_dir, "conversations"), path)
+    return readers.read_json(spark, path, "text", lines=True).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("parquet_by_category", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def parquet_by_category(spark, sf_dir):
+    """A table written in a folder for each category; the group is the folder."""
+    path = _folder(spark)
+    sinks.write_parquet(table(spark, sf_dir, "documents"), path, "lang")
+    return spark.read.parquet(path).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("summary_report", "WITH d AS (SELECT lang, doc_id <> min(doc_id) OVER (PARTITION BY md5(text)) AS dup FROM documents), c AS (SELECT lang, count(*) AS n FROM d GROUP BY lang) SELECT count(*) AS total_items, count(DISTINCT lang) AS num_categories, count(*) FILTER (dup) AS num_duplicates, count(*) FILTER (NOT dup) AS num_unique, (SELECT string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) FROM c) AS top_categories FROM d")

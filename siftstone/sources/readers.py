@@ -29,9 +29,10 @@ def ingest(spark: SparkSession, data) -> DataFrame:
     return spark.createDataFrame([(x,) for x in data], ["value"])
 
 
-def read_json(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
-    """JSON rows, an array of them or lines; a missing ``column`` is an error that names those there."""
-    df = spark.read.json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, column: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON rows, an array of them in each file, or with ``lines`` one a line, where files are read in splits; a missing
+    ``column`` is an error that names those there."""
+    df = spark.read.json(path, multiLine=not lines)
     if column and column not in df.columns:
         raise ValueError(f"Column '{column}' not found. Available: {', '.join(df.columns)}")
     return df

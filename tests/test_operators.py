@@ -239,3 +239,80 @@ def test_streaming(spark, tmp_path):
     q = streaming.drop_repeats(stream).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("kept").count() == 2
+
+
+def test_dispatch_of_scalars_and_cache(spark, docs, tmp_path):
+    r = organize.run("similarity", spark.createDataFrame([("abc", "abd")], "a string, b string"), all=True).first()
+    assert math.isclose(r.levenshtein, 2 / 3) and 0 < r["jaro-winkler"] < 1 and math.isclose(r.cosine, 0.5)
+    assert organize.run("similarity", spark.createDataFrame([("abc", "abd")], "a string, b string"), metric="jw").first().metric == "jw"
+    r = organize.run("normalize_url", docs).first()
+    assert (r.original, r.normalized, r.canonical_key) == ("https://www.example.com/p0?utm_source=x", "https://example.com/p0", "example.com/p0")
+    path = str(tmp_path / "kept")
+    for _ in range(2):
+        assert organize.run("tags", docs, cache=path, count=2).count() == 7
+    assert [a["kind"] for a in organize.run("cache", path=path)["artifacts"]] == ["tags"]
+    assert organize.run("cache", path=path, clear=True, kind="tags")["deleted"] == 1
+    assert organize.run("classify", docs, clusters=2, linkage="single").count() == 7
+
+
+def test_sql_functions(spark):
+    organize.register(spark)
+    r = spark.sql(r"select tokenize('The Rust-lang: can\'t 3.14 __ a') t, slugify(' A b!c ') s, simhash(tokenize('rust systems programming')) f").first()
+    assert r.t == ["rust", "lang", "can't", "3.14"] and r.s == "a-b-c" and r.f == "f88eec8c521637f5"
+
+
+def test_words_by_both_patterns(spark):
+    import regex
+
+    from siftstone.functions import text
+
+    r = random.Random(2)
+    bits = ["a", "bc", "é", "ß", "e\u0301", "\u0301", "'", "’", ".", ":", "·", ",", ";", "1", "23", "_", " ", "-", "@", "中", "٣"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(25))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.raw_words("t").alias("w")).collect()
+    for x in got:
+        assert x.w == regex.findall(text.WORD, x.t), x.t
+
+
+def test_terms_within_rows(spark):
+    from siftstone.functions import terms, text
+
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["rust", "The", "go", "é", "a", "__", "pasta1"]) for _ in range(r.randrange(9)))) for i in range(1500)] + [(9000, None), (9001, "")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    words = {x.i: x.w for x in df.select("i", text.tokens("t").alias("w")).collect()}
+    got = {(x.i, x.term): (x.tf, x.dl) for x in terms.term_counts(df, "i", "t").collect()}
+    assert got == {(i, t): (w.count(t), len(w)) for i, w in words.items() for t in w}
+    fp = {x.i: x.fingerprint for x in terms.fingerprints(df, "i", "t").collect()}
+    sig = {x.i: x.signature for x in terms.signatures(df, "i", "t", 16).collect()}
+    for i, w in words.items():
+        assert f"{fp[i] & (1 << 64) - 1:016x}" == hashing.simhash_lists([w])[0]
+        assert sig[i] == hashing.minhash_signature(w, 16).view(np.int64).tolist()
+
+
+def test_row_index_follows_the_input(spark):
+    df = spark.range(1000).repartition(7).selectExpr("id as x")
+    want = [r.x for r in df.collect()]
+    assert [r.x for r in corpus.with_row_index(df).orderBy("row_idx").collect()] == want
+    assert corpus.with_row_index(df.limit(0)).count() == 0
+
+
+def test_index_of_small_bands_and_near_duplicates(spark):
+    for t in range(16):
+        r = random.Random(t)
+        for _ in range(200):
+            x = sum({1 << r.randrange(64) for _ in range(t)})
+            assert any(x & m == 0 for m in dedup.masks(t))
+    assert len(dedup.masks(3, lossless=False)) == len(dedup.masks(20)) == 16
+    df = spark.createDataFrame([(0, 0), (1, 0b111), (2, -1)], "row_idx long, fingerprint long")
+    assert [(r.a, r.b) for r in dedup.hamming_pairs(df, 3, lossless=False).collect()] == [(0, 7)]
+    assert [r[0] for r in df.select(hashing.is_near_duplicate(F.lit(0), F.col("fingerprint"))).collect()] == [True, True, False]
+
+
+def test_types_of_variants_and_sparse_factors(spark):
+    df = spark.sql("select parse_json(x) v from values ('1'), ('\"s\"'), ('[1]'), ('{\"a\":1}'), ('true'), ('2.5') t(x)")
+    assert {t["type"]: t["count"] for t in profile.report(df)["fields"]["v"]["types"]} == {"number": 2, "string": 1, "array": 1, "object": 1, "bool": 1}
+    v = np.random.default_rng(0).random((12, 9)) * (np.random.default_rng(1).random((12, 9)) < 0.4)
+    r, c = np.nonzero(v)
+    for a, b in zip(topics.nmf(v, 3, 50), topics.nmf_sparse(r, c, v[r, c], 12, 9, 3, 50)):
+        assert np.allclose(a, b)
