@@ -1,22 +1,22 @@
 """Shared pieces: Arrow text buffers as numpy arrays, words, hashes, checkpoints.
 
-Every operator here sees its text through ``chunks``: whole documents, null as
-empty, in slices of a few megabytes, so a worker's memory is set by the slice
-(or by the longest single text), never by the partition.
+Operators see their text through ``chunks``: whole documents, null as empty, in slices of a few megabytes, so
+a worker's memory is set by the slice (or by the longest single text), never by the partition. Media and packing take
+rows of an Arrow batch by fixed numbers instead.
 """
 
 from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import forget, saved  # noqa: F401
+
 CHUNK_BYTES = 2 << 20
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -29,21 +29,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared checkpoint folder and read back.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests) is a private one made.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="siftstone-")
-    path = f"{root.rstrip('/')}/siftstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_array(column) -> pa.LargeStringArray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

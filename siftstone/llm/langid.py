@@ -9,7 +9,9 @@ Texts of a slice are summed by one matrix product of n-gram counts and n-gram ve
 is one pass that leaves each partition's sums per language and dimension, in integers, so the
 result doesn't depend on their order; what reaches the driver is languages x dimensions.
 
-Null text, and text without a letter, is ``und`` with score 0. If nothing can be learned, all is.
+Null text, and text without a letter, is ``und`` with score 0. If nothing can be learned, all is. Texts are seen whole; repeated rows
+count as often as they occur and get the same language; an empty table gives no rows and further columns of any name
+are left alone.
 """
 
 from __future__ import annotations

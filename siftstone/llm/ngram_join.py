@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, saved
+from ..operators.graph import components, forget, saved
 from .common import U64, chunks, documents, mix, ranges_hash, word_hashes
 
 N, THRESHOLD, RECALL, TREES, DEPTH, BLOCK = 3, 0.5, 0.999, 80, 6, 512
@@ -265,13 +265,18 @@ def _groups(keys: DataFrame, keyed: DataFrame, threshold: float, recall: float,
             # groups move as a whole; texts that had none are their own
             old = group.join(moved, "comp", "left").select("h", F.coalesce("to", "comp").alias("comp"))
             own = moved.join(group.select(F.col("h").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("h"), F.col("to").alias("comp"))
-            group = saved(old.union(own))
+            last, group = group, saved(old.union(own))
+            forget(last)
+        forget(edges)
         if unmet(new, before, depth, threshold, trees) <= (1 - recall) * group.count():
             break
         before = depth
-    group = group.withColumnRenamed("comp", "group")
+    last, group = group, group.withColumnRenamed("comp", "group")
     group = group.join(group.groupBy("group").count(), "group")
-    return saved(keys.select("key", F.xxhash64("key").alias("h")).join(group, "h").drop("h"))
+    group = saved(keys.select("key", F.xxhash64("key").alias("h")).join(group, "h").drop("h"))
+    for used in (last, tries, signatures):
+        forget(used)
+    return group
 
 
 def _bits(keys: pa.Array) -> np.ndarray:

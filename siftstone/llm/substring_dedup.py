@@ -10,7 +10,8 @@ level, the rest is empty.
 Texts are known by 96 bits of their MD5 and windows by 96 bits. Equal texts are one row with a
 number of copies. Counts are partly summed before each shuffle; a hot passage's rows meet its one
 count in a join that may be split. All texts are shuffled once, to the first level's survivors; later
-steps have the texts alone in which something survived. Null text has no words; repeated rows are copies of each other.
+steps have the texts alone in which something survived. Null text has no words; repeated rows are copies of each other;
+an empty table gives no rows and further columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import saved
+from ..operators.graph import forget, saved
 from .common import U64, chunks, documents, mix, ranges_hash, sha, word_hashes, words
 
 WINDOW, SHORTEST = 35, 16
@@ -110,11 +111,13 @@ def removed_words(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
     texts = keyed.groupBy("k1", "k2").agg(F.first("__text").alias("__text"), F.count(F.lit(1)).cast("int").alias("copies"))
     steps, rows = lengths(window), keyed.select("k1", "k2", F.lit(1).alias("copies"), "__text")
     for before, length in zip([None, *steps], steps):
-        alive = _repeated(saved(_emit(rows, window, length, before)))
+        level = saved(_emit(rows, window, length, before))
+        alive = _repeated(level)
         # texts in which nothing survives are left behind here
         rows = (texts if before is None else rows.drop("alive")).join(alive, ["k1", "k2"])
         if length < window:
             rows = saved(rows)
+            forget(level)
 
     def run(batches):
         for b, texts, data, off in chunks(batches, "__text"):

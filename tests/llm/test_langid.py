@@ -28,6 +28,31 @@ def test_vectors_equal_brute_force():
         assert np.array_equal(v, brute(t)), t
 
 
+def test_predictions_equal_brute_force(spark):
+    """Prototypes are sums of unit vectors, predictions the largest cosine."""
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join(r.choice((WORDS["en"] + " " + WORDS[lang]).split(), 6)), lang) for i in range(90) for lang in [list(WORDS)[i % 3]]]
+    rows += [rows[3], (200, "", "en"), (201, None, "de"), (202, "le " * 5000, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    learned = {}
+    for i, t, lang in rows:
+        if t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang] = learned.get(lang, 0) + unit(brute(t))
+    learned = {k: unit(v) for k, v in sorted(learned.items())}
+    by = {}
+    for x in L.predict_languages(df).collect():
+        by.setdefault(x.doc_id, x)
+    for i, t, _ in rows:
+        v = unit(brute(t or ""))
+        cos = {k: float(p @ v) for k, p in learned.items()}
+        best = max(cos, key=cos.get)
+        if not v.any():
+            assert by[i].lang_pred == "und"
+        elif sorted(cos.values())[-1] - sorted(cos.values())[-2] > 1e-5:
+            assert by[i].lang_pred == best and abs(by[i].score - max(cos[best], 0)) < 1e-4
+
+
 def test_held_out_accuracy_and_edges(spark):
     r = np.random.default_rng(0)
     rows = []

@@ -3,6 +3,8 @@ import pytest
 
 from siftstone.llm import media as m
 
+from . import plain_jpeg
+
 
 def test_round_trip_and_both_readers():
     for n in (64, 128, 640, 6400):
@@ -18,6 +20,22 @@ def test_round_trip_and_both_readers():
             m.encode(bad)
 
 
+def test_pictures_equal_an_independent_reader():
+    texts = ["abc", "", "Ünïcode text, long enough for several blocks. " * 30, "z" * 1000]
+    for raw in [m.pad(t.encode()) for t in texts] + [np.random.default_rng(1).integers(0, 256, 1280).astype(np.uint8).tobytes()]:
+        jpeg = m.encode(raw)
+        rows, comps = plain_jpeg.read(jpeg)
+        pic = m.coefficients(jpeg)
+        for a, b in zip(comps, pic["comps"]):
+            assert [x for line in a["blocks"] for x in line] == b["coef"].tolist()
+        want = np.array(rows)
+        got = m.rgb(pic).astype(float)
+        assert got.shape == want.shape
+        # rounding of samples, then of colours
+        assert np.abs(got - np.clip(want, 0, 255)).max() <= 0.51 + 1.8 * (np.abs(got - np.clip(want, 0, 255)).max() > 0.51)
+        assert (np.abs(got - np.clip(want, 0, 255)) <= 0.51).mean() > 0.999
+
+
 def test_zero_runs_restarts_and_new_coefficients():
     """A grey picture by hand: runs, end-of-band runs, refinement that finds new coefficients."""
     bits = lambda s: np.packbits([int(c) for c in s.replace(" ", "")] + [1] * (-len(s.replace(" ", "")) % 8)).tobytes().replace(b"\xff", b"\xff\x00")
