@@ -14,15 +14,16 @@ from .graph import saved
 
 def with_row_index(df: DataFrame, col: str = "row_idx") -> DataFrame:
     """Positions from 0 in the input's order: the number within the partition and the sizes of those before, of which
-    the driver sees one number each."""
+    the driver sees one number each. Rows are written with both first: a sort's partitions are cut anew each time it runs."""
     mid = F.monotonically_increasing_id()
     part, within = F.shiftright(mid, 33), mid.bitwiseAND(F.lit((1 << 33) - 1))
-    sizes, before, above = df.groupBy(part.alias("p")).count().collect(), 0, []
-    for r in sorted(sizes):
-        above.append((r.p, before))
+    void = [f.name for f in df.schema if f.dataType.typeName() == "void"]
+    rows, before, above = saved(df.drop(*void).withColumns({"__p": part, "__within": within})), 0, []
+    for r in sorted(rows.groupBy("__p").count().collect()):
+        above.append((r["__p"], before))
         before += r["count"]
     above = df.sparkSession.createDataFrame(above, "__p long, __above long")
-    rows = df.withColumns({"__p": part, "__within": within}).join(F.broadcast(above), "__p")  # a row for each partition
+    rows = rows.withColumns({c: F.lit(None) for c in void}).join(F.broadcast(above), "__p")  # a row for each partition
     return rows.select(*(F.col(f"`{c}`") for c in df.columns if c != col), (F.col("__above") + F.col("__within")).alias(col))
 
 

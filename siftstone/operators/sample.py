@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .corpus import with_row_index
-from .graph import saved
 
 _M = (1 << 64) - 1
 STRATEGIES = ("random", "systematic", "stratified", "reservoir")
@@ -93,5 +92,6 @@ def sample(df: DataFrame, size: int = 100, strategy: str = "random", field: str
     picked = df.sparkSession.createDataFrame(pd.DataFrame({"__i": places}, dtype="int64"), "__i long")
     if dense:
         return df.join(picked, df[id_col] == picked["__i"], "left_semi")
-    ranked = with_row_index(saved(df.select(F.col(id_col).alias("__id"))).orderBy("__id"), "__i").join(picked, "__i", "left_semi")
-    return df.join(ranked, df[id_col] == ranked["__id"], "left_semi")
+    # rows of one id are told apart by their other columns, and each takes a place of its own
+    order = [id_col, *(f.name for f in df.schema if f.name != id_col and not any(k in f.dataType.simpleString() for k in ("map<", "variant")))]
+    return with_row_index(df.orderBy(*(F.col(f"`{c}`") for c in order)), "__i").join(picked, "__i", "left_semi").drop("__i")
