@@ -36,13 +36,14 @@ def hamming_pairs(fps: DataFrame, threshold: int = 3, fp_col: str = "fingerprint
     """(a, b, distance) of different fingerprints within the distance, a < b, once each. Equal ones are one
     row before the join, so copies never meet; a pair is given under the first mask it agrees under alone."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(threshold, lossless)]
-    own = fps.select(F.col(fp_col).alias("fp")).distinct()
+    own = saved(fps.select(F.col(fp_col).alias("fp")).distinct())
     keyed = own.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("k", "key"))
     a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(signed)])
     near = F.bit_count(x)
-    return a.join(b, ["k", "key"]).where((F.col("a") < F.col("b")) & (near <= threshold) & (first == F.col("k"))).select("a", "b", near.cast("int").alias("distance"))
+    # the planner knows the size of ``own``, not that of its rows under every mask, which it would broadcast
+    return a.hint("merge").join(b.hint("merge"), ["k", "key"]).where((F.col("a") < F.col("b")) & (near <= threshold) & (first == F.col("k"))).select("a", "b", near.cast("int").alias("distance"))
 
 
 def dedup(
