@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+from base64 import b64decode, b64encode
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import tfidf, with_row_index
-from .graph import forget, saved
+from ..functions.terms import term_counts
+from .corpus import idf, with_row_index
+from .graph import saved
 
 #: NONZEROS: at most so many weights (16 bytes each) are factorised on the driver
 EPS, NONZEROS = 1e-10, 5_000_000
@@ -39,46 +43,65 @@ def nmf_sparse(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, m: i
     return w, h
 
 
-def _nmf_distributed(rows: DataFrame, k: int, width: int, iterations: int) -> tuple[DataFrame, np.ndarray]:
-    """rows: (pos, at array<int>, v array<double>). H, of the limited vocabulary, is on the driver; rows keep
-    their W in a table written each round."""
+class _Rows:
+    """Sparse rows in local files, read a slice at a time, and their factors; memory follows the number of rows alone."""
 
-    def first(batches):
-        for b in batches:
-            w = start(b.column("pos").to_numpy(), k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(w))], ["pos", "at", "v", "w"])
+    def __init__(self, k: int, width: int):
+        self.k, self.width, self.slices, self.pos = k, width, [], []
+        self.at, self.v = tempfile.TemporaryFile(), tempfile.TemporaryFile()
 
-    schema = "pos long, at array<int>, v array<double>, w array<double>"
-    state, h = saved(rows.mapInArrow(first, schema)), start(np.arange(k), width)
+    def add(self, pos: np.ndarray, size: np.ndarray, at: np.ndarray, v: np.ndarray) -> None:
+        at.astype(np.int32).tofile(self.at)
+        v.astype(np.float64).tofile(self.v)
+        self.pos.append(pos)
+        self.slices.append([size, start(pos, self.k)])
 
-    def sums(batches):
+    def sums(self, h: np.ndarray | None = None) -> np.ndarray:
+        """Cells of W V and of W W, after a step of W with h if it is given."""
+        k, width = self.k, self.width
         wv, ww = np.zeros((k, width)), np.zeros((k, k))
-        for b in batches:
-            for at, v, w in zip(b.column("at").to_pylist(), b.column("v").to_pylist(), b.column("w").to_pylist()):
-                w = np.array(w)
-                wv[:, at] += w[:, None] * np.array(v)
-                ww += np.outer(w, w)
-        flat = np.concatenate([wv.ravel(), ww.ravel()])
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["cell", "value"])
+        self.at.seek(0), self.v.seek(0)
+        for own in self.slices:
+            row, w = np.repeat(np.arange(len(own[0])), own[0]), own[1]
+            at, v = np.fromfile(self.at, np.int32, len(row)), np.fromfile(self.v, np.float64, len(row))
+            if h is not None:
+                vh = np.stack([np.bincount(row, h[t][at] * v, len(w)) for t in range(k)], 1)
+                own[1] = w = w * (vh / (w @ (h @ h.T) + EPS))
+            for t in range(k):
+                wv[t] += np.bincount(at, w[:, t][row] * v, width)
+            ww += w.T @ w
+        return np.concatenate([wv.ravel(), ww.ravel()])
 
-    for _ in range(iterations):
-        flat = np.zeros(k * width + k * k)
-        for r in state.select("at", "v", "w").mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
-            flat[r.cell] = r.value
-        h = h * flat[: k * width].reshape(k, width) / (flat[k * width :].reshape(k, k) @ h + EPS)
 
-        def step(batches, h=h, hh=h @ h.T):
-            for b in batches:
-                new = []
-                for at, v, w in zip(b.column("at").to_pylist(), b.column("v").to_pylist(), b.column("w").to_pylist()):
-                    w = np.array(w)
-                    new.append(w * (h[:, at] @ np.array(v)) / (w @ hh + EPS))
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.list_(pa.float64()))], ["pos", "at", "v", "w"])
-
-        old, state = state, saved(state.mapInArrow(step, schema))
-        forget(old)
-    return state.select("pos", "w"), h
+def _nmf_distributed(rows: DataFrame, k: int, width: int, iterations: int) -> tuple[DataFrame, np.ndarray]:
+    """rows: (pos, at array<int>, v array<double>). One job of as many tasks as there are cores: each keeps its rows in local
+    files and their W in memory, and in every round all tasks add up their sums, from which each takes the same H."""
+
+    def run(batches):
+        from pyspark import BarrierTaskContext
+
+        every, own = BarrierTaskContext.get(), _Rows(k, width)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                at, v = b.column("at"), b.column("v")
+                own.add(b.column("pos").to_numpy(), at.value_lengths().to_numpy(), at.flatten().to_numpy(), v.flatten().to_numpy())
+        h = start(np.arange(k), width)
+        for i in range(iterations + 1):
+            flat = own.sums(h if i else None)
+            if i == iterations:
+                break
+            flat = sum(np.frombuffer(b64decode(x)) for x in every.allGather(b64encode(flat.tobytes()).decode()))
+            h = h * (flat[: k * width].reshape(k, width) / (flat[k * width :].reshape(k, k) @ h + EPS))
+        if every.partitionId() == 0:  # H in rows before those of W
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(k)), pa.array(list(h), pa.list_(pa.float64()))], ["pos", "w"])
+        for pos, (_, w) in zip(own.pos, own.slices):
+            yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(list(w), pa.list_(pa.float64()))], ["pos", "w"])
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    found = saved(rows.repartition(cores, "pos").sortWithinPartitions("pos").mapInArrow(run, "pos long, w array<double>", barrier=True))
+    h = np.array([r.w for r in sorted(found.where("pos < 0").collect(), key=lambda r: -r.pos)]).reshape(k, width)
+    return found.where("pos >= 0"), h
 
 
 def dominant(w: np.ndarray) -> np.ndarray:
@@ -92,10 +115,12 @@ def topics(df: DataFrame, field: str = "content", topics: int = 5, terms: int =
     if not n:
         raise ValueError("No items")
     spark = df.sparkSession
-    weights = saved(tfidf(df, id_col, field).select(id_col, "term", "df", "weight"))
-    words = [r.term for r in weights.groupBy("term").agg(F.first("df").alias("df")).orderBy(F.col("df").desc(), "term").limit(vocab).collect()]
-    place = spark.createDataFrame(list(enumerate(words)) or [(0, "")], "at int, term string")
-    cells = saved(weights.join(F.broadcast(place), "term").select(id_col, "at", "weight"))  # at most ``vocab`` rows
+    tf = saved(term_counts(df, id_col, field))
+    words = [(i, r.term, r.df) for i, r in enumerate(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "term").limit(vocab).collect())]
+    place = spark.createDataFrame(words or [(0, "", 1)], "at int, term string, df long").withColumn("idf", idf(n, F.col("df")))
+    words = [w for _, w, _ in words]
+    # at most ``vocab`` rows are broadcast; the other terms' weights are never needed
+    cells = saved(tf.join(F.broadcast(place), "term").select(id_col, "at", (F.col("tf") / F.col("dl") * F.col("idf")).alias("weight")))
     if cells.limit(dense + 1).count() <= dense and n <= max(dense, 0):
         ids = sorted(df.select(id_col).toArrow().column(0).to_pylist())
         found = cells.toArrow()
@@ -104,7 +129,7 @@ def topics(df: DataFrame, field: str = "content", topics: int = 5, terms: int =
         w, h = nmf_sparse(where, found.column(1).to_numpy().astype(np.int64), found.column(2).to_numpy(), n, len(words), topics, iterations)
         assigned = spark.createDataFrame(list(zip(ids, dominant(w).tolist())), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, topic int")
     else:
-        ranked = saved(with_row_index(saved(df.select(id_col).orderBy(id_col)).orderBy(id_col), "pos"))
+        ranked = saved(with_row_index(df.select(id_col).orderBy(id_col), "pos"))
         packed = cells.groupBy(id_col).agg(F.collect_list("at").alias("at"), F.collect_list("weight").alias("v"))
         rows = ranked.join(packed, id_col, "left").select("pos", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("v", F.array().cast("array<double>")).alias("v"))
         w, h = _nmf_distributed(rows, topics, len(words), iterations)
