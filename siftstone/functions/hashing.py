@@ -12,23 +12,32 @@ _U = np.uint64
 _M = (1 << 64) - 1
 
 
-def _rotl(x, b):
-    return (x << _U(b)) | (x >> _U(64 - b))
-
-
-def _round(v):
-    a, b, c, d = v
-    a = a + b
-    b = _rotl(b, 13) ^ a
-    a = _rotl(a, 32)
-    c = c + d
-    d = _rotl(d, 16) ^ c
-    a = a + d
-    d = _rotl(d, 21) ^ a
-    c = c + b
-    b = _rotl(b, 17) ^ c
-    c = _rotl(c, 32)
-    return a, b, c, d
+#: so many hashes are worked on at a time, in place
+_CHUNK = 1 << 15
+
+
+def _rotl(x, b, t):
+    np.right_shift(x, _U(64 - b), out=t)
+    np.left_shift(x, _U(b), out=x)
+    np.bitwise_or(x, t, out=x)
+
+
+def _round(a, b, c, d, t):
+    """One round in place; t is scratch."""
+    a += b
+    _rotl(b, 13, t)
+    b ^= a
+    _rotl(a, 32, t)
+    c += d
+    _rotl(d, 16, t)
+    d ^= c
+    a += d
+    _rotl(d, 21, t)
+    d ^= a
+    c += b
+    _rotl(b, 17, t)
+    b ^= c
+    _rotl(c, 32, t)
 
 
 def sip13(items: list[bytes], k0=0, k1=0) -> np.ndarray:
@@ -46,17 +55,23 @@ def sip13(items: list[bytes], k0=0, k1=0) -> np.ndarray:
             raw[r, : len(items[i])] = np.frombuffer(items[i], np.uint8)
             raw[r, -1] = len(items[i]) & 255
         m = raw.view("<u8").astype(_U)
-        a, b = np.broadcast_to(k0, shape)[..., at], np.broadcast_to(k1, shape)[..., at]
-        with np.errstate(over="ignore"):
-            v = (a ^ _U(0x736F6D6570736575), b ^ _U(0x646F72616E646F6D), a ^ _U(0x6C7967656E657261), b ^ _U(0x7465646279746573))
-            for k in range(blocks + 1):
-                v = (v[0], v[1], v[2], v[3] ^ m[:, k])
-                v = _round(v)
-                v = (v[0] ^ m[:, k], *v[1:])
-            v = (v[0], v[1], v[2] ^ _U(0xFF), v[3])
-            for _ in range(3):
-                v = _round(v)
-        out[..., at] = v[0] ^ v[1] ^ v[2] ^ v[3]
+        step = max(1, _CHUNK // max(1, int(np.prod(shape[:-1]))))
+        for lo in range(0, len(at), step):
+            some = at[lo : lo + step]
+            x, y = (k if k.ndim == 0 or k.shape[-1] == 1 else k.take(some, -1) for k in (k0, k1))
+            v = [np.empty((*shape[:-1], len(some)), _U) for _ in range(5)]
+            for i, word in enumerate((0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)):
+                v[i][...] = (y if i % 2 else x) ^ _U(word)
+            with np.errstate(over="ignore"):
+                for k in range(blocks + 1):
+                    own = np.ascontiguousarray(m[lo : lo + step, k])
+                    v[3] ^= own
+                    _round(*v)
+                    v[0] ^= own
+                v[2] ^= _U(0xFF)
+                for _ in range(3):
+                    _round(*v)
+            out[..., some] = v[0] ^ v[1] ^ v[2] ^ v[3]
     return out
 
 
@@ -135,22 +150,55 @@ def simhash_lists(words: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def least_hashes(words: list[str], row: np.ndarray, at: np.ndarray, rows: int, perms: int = 128) -> np.ndarray:
+class Words:
+    """Keyed hashes of words, kept from one batch to the next: at most ``most`` words (8 * perms bytes each) that came in two
+    batches. Which are kept changes the time alone."""
+
+    def __init__(self, perms: int = 128, most: int = 1 << 16, seen: int = 1 << 20):
+        i = np.arange(perms, dtype=_U)
+        with np.errstate(over="ignore"):
+            self.k0, self.k1 = (i * _U(6364136223846793005) + _U(1))[:, None], (i * _U(1442695040888963407) + _U(7))[:, None]
+        self.perms, self.most, self.limit = perms, most, seen
+        self.place: dict[str, int] = {}
+        self.once: set[str] = set()
+        self.kept = np.empty((0, perms), _U)
+        self.hashed = 0
+
+    def table(self, words: list[str]) -> np.ndarray:
+        """(words, perms): the hashes of different words."""
+        at = np.array([self.place.get(w, -1) for w in words], np.int64)
+        out = np.empty((len(words), self.perms), _U)
+        out[at >= 0] = self.kept[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        for lo in range(0, len(new), 2048):
+            some = new[lo : lo + 2048]
+            out[some] = token_hashes([words[i] for i in some], self.k0, self.k1).T
+        self.hashed += len(new)
+        again = [i for i in new.tolist() if words[i] in self.once][: self.most - len(self.place)]
+        if again:
+            for i in again:
+                self.place[words[i]] = len(self.place)
+                self.once.discard(words[i])
+            self.kept = np.concatenate([self.kept, out[again]])
+        if len(self.place) < self.most:
+            if len(self.once) > self.limit:
+                self.once.clear()
+            self.once.update(words[i] for i in new.tolist() if words[i] not in self.place)
+        else:
+            self.once.clear()
+        return out
+
+
+def least_hashes(words: list[str], row: np.ndarray, at: np.ndarray, rows: int, perms: int = 128, known: Words | None = None) -> np.ndarray:
     """(rows, perms): for each row the least hash of its words under each keyed permutation, unsigned; all ones without
-    words. Row i has the words ``at[row == i]``; rows ascend. Every word is hashed once."""
-    i = np.arange(perms, dtype=_U)
-    with np.errstate(over="ignore"):
-        k0, k1 = i * _U(6364136223846793005) + _U(1), i * _U(1442695040888963407) + _U(7)
+    words. Row i has the words ``at[row == i]``; rows ascend. Every word is hashed once, or was by ``known``."""
     out = np.full((rows, perms), _M, _U)
     if not len(row):
         return out
-    table = np.empty((len(words), perms), _U)
-    for lo in range(0, len(words), 2048):
-        table[lo : lo + 2048] = token_hashes(words[lo : lo + 2048], k0[:, None], k1[:, None]).T
+    table = (known or Words(perms)).table(words)
     begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    for lo in range(0, len(begin), 64):
-        j = begin[lo + 64] if lo + 64 < len(begin) else len(row)
-        out[row[begin[lo : lo + 64]]] = np.minimum.reduceat(table[at[begin[lo] : j]], begin[lo : lo + 64] - begin[lo], axis=0)
+    for lo, hi in zip(begin, np.append(begin[1:], len(row))):
+        out[row[lo]] = table[np.unique(at[lo:hi])].min(0)
     return out
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import least_hashes, token_hashes
+from .hashing import Words, least_hashes, token_hashes
 from .text import STOPWORDS, raw_words
 
 _SPLIT = 128 << 20
@@ -96,8 +96,9 @@ def signatures(df: DataFrame, id_col: str, field: str, perms: int = 128) -> Data
     """(id, signature) of every row: MinHash of its terms; all ones without terms."""
 
     def run(batches):
+        known = Words(perms)
         for ids, row, at, names in _batches(batches):
-            out = least_hashes(names.to_pylist(), row, at, len(ids), perms).view(np.int64)
+            out = least_hashes(names.to_pylist(), row, at, len(ids), perms, known).view(np.int64)
             off = pa.array(np.arange(0, out.size + 1, perms, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(off, pa.array(out.ravel()))], [id_col, "signature"])
 
