@@ -11,6 +11,9 @@ from ..functions import hashing, terms
 from ..functions.terms import term_counts
 from .graph import saved
 
+#: Common terms are at most so many, of at most so many bytes each.
+COMMON, LONGEST = 1 << 18, 64
+
 
 def with_row_index(df: DataFrame, col: str = "row_idx") -> DataFrame:
     """Positions from 0 in the input's order: the number within the partition and the sizes of those before, of which
@@ -31,16 +34,31 @@ def idf(n: int, df: Column) -> Column:
     return F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5) + 1)
 
 
-def tfidf(df: DataFrame, id_col: str, field: str, hash_fn: str | None = None) -> DataFrame:
-    """(id, term, tf, dl, df, idf, weight[, h]) of every term of every row; h is the term's hash. Texts are read
-    once, into a table of counted terms."""
+def tfidf(df: DataFrame, id_col: str, field: str) -> DataFrame:
+    """(id, term, tf, dl, df, idf, weight) of every term of every row, for tables of bounded size: every term of every row is
+    joined. Texts are read once, into a table of counted terms."""
     tf = saved(term_counts(df, id_col, field))
     freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf(df.count(), F.col("df")))
-    if hash_fn:
-        freq = freq.withColumn("h", hashing.term_hash(F.col("term"), hash_fn))
     return tf.join(freq, "term").withColumn("weight", F.col("tf") / F.col("dl") * F.col("idf"))
 
 
+def frequencies(df: DataFrame, id_col: str, field: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """(id, term, tf, dl) of every term of every row; (term, df, common) of every term; the number of rows; the least df of
+    common terms. Of all occurrences most are of common terms, at most ``COMMON`` short ones that are broadcast. Both tables
+    are saved, the texts read once."""
+    tf = saved(term_counts(df, id_col, field))
+    freq = saved(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    short = F.octet_length("term") <= LONGEST
+    # as many numbers as there are different frequencies: n of them need n * n / 2 occurrences
+    many, cut = 0, 1
+    for r in sorted(freq.where(short).groupBy("df").count().collect(), reverse=True):
+        many += r["count"]
+        if many > COMMON:
+            cut = r["df"] + 1
+            break
+    return tf, freq.withColumn("common", short & (F.col("df") >= cut)), df.count(), cut
+
+
 def top_terms(df: DataFrame, id_col: str, field: str, count: int = 5) -> DataFrame:
     """(id, rank, term, score): the strongest terms of every row, ties by term."""
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "term")
@@ -59,8 +77,14 @@ def fingerprints(df: DataFrame, field: str = "content", weighted: bool = False,
     """(id, fingerprint) of every row, 0 without terms."""
     if not weighted:
         return terms.fingerprints(df, id_col, field, hash_fn)
+    tf, freq, n, _ = frequencies(df, id_col, field)
+    freq = freq.withColumn("h", hashing.term_hash(F.col("term"), hash_fn))
+    common = F.broadcast(freq.where("common"))
+    # rows' votes are 64 sums, so they are summed where a row's terms lie together: common ones as they were read, others by row
+    rest = tf.join(common.select("term"), "term", "left_anti").join(freq.where("NOT common"), "term")
     # once for each occurrence: tf times the weight of one
-    found = tfidf(df, id_col, field, hash_fn).select(id_col, "term", (F.col("tf") * F.col("weight")).alias("weight"), "h")
+    own = [id_col, (F.col("tf") * (F.col("tf") / F.col("dl") * idf(n, F.col("df")))).alias("weight"), "h"]
+    found = tf.join(common, "term").select(*own).union(rest.select(*own).repartition(id_col))
     return df.select(id_col).join(hashing.simhash(found, id_col), id_col, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit(0)))
 
 
