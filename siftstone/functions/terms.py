@@ -68,6 +68,26 @@ def term_counts(df: DataFrame, id_col: str, field: str) -> DataFrame:
     return _mapped(df, id_col, raw_words(field), run, "term string, tf long, dl long")
 
 
+def strongest(df: DataFrame, id_col: str, count: int) -> DataFrame:
+    """Of rows (id, term, tf, dl, least, most), a score's bounds, those that may be among the id's ``count`` highest. Rows are
+    seen an Arrow batch at a time; an id that is cut by batches keeps more of them."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).dictionary_encode()
+            row = pc.fill_null(ids.indices, len(ids.dictionary)).to_numpy(zero_copy_only=False)
+            least, most = (b.column(k).to_numpy(zero_copy_only=False) for k in ("least", "most"))
+            order = np.lexsort((-least, row))
+            size = np.bincount(row, minlength=1)
+            kth, enough = np.cumsum(size) - size + max(count, 1) - 1, size >= max(count, 1)
+            floor = np.full(len(size), -np.inf)
+            floor[enough] = least[order[kth[enough]]]
+            # scores are rounded to 9 places before they are compared
+            yield b.select([id_col, "term", "tf", "dl"]).filter(pa.array(most >= floor[row] - 2e-9))
+
+    return df.mapInArrow(run, df.select(id_col, "term", "tf", "dl").schema)
+
+
 def _hashes(names: pa.Array, hash_fn: str) -> np.ndarray:
     words = names.to_pylist()
     if hash_fn == "sip13":

@@ -60,9 +60,16 @@ def frequencies(df: DataFrame, id_col: str, field: str) -> tuple[DataFrame, Data
 
 
 def top_terms(df: DataFrame, id_col: str, field: str, count: int = 5) -> DataFrame:
-    """(id, rank, term, score): the strongest terms of every row, ties by term."""
+    """(id, rank, term, score): the strongest terms of every row, ties by term. A term of another frequency than the
+    common ones' has bounds; only those which may be among the strongest are joined with all frequencies."""
+    tf, freq, n, cut = frequencies(df, id_col, field)
+    known = tf.join(F.broadcast(freq.where("common").select("term", "df")), "term", "left")
+    most = F.when(F.octet_length("term") <= LONGEST, F.lit(max(cut - 1, 1))).otherwise(F.lit(n))
+    share = F.col("tf") / F.col("dl")
+    bound = lambda other: share * idf(n, F.coalesce("df", other))
+    able = terms.strongest(known.select(id_col, "term", "tf", "dl", bound(most).alias("least"), bound(F.lit(1)).alias("most")), id_col, count)
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), "term")
-    scored = tfidf(df, id_col, field).select(id_col, "term", F.round("weight", 9).alias("score"))
+    scored = able.join(freq, "term").select(id_col, "term", F.round(share * idf(n, F.col("df")), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count).select(id_col, "rank", "term", "score")
 
 

@@ -29,11 +29,20 @@ def _moved(spark, run):
 
 RUNS = {
     "simhash": lambda docs: corpus.fingerprints(docs, weighted=True),
+    "top_terms": lambda docs: corpus.top_terms(docs, "row_idx", "content"),
 }
 
 
+@pytest.fixture
+def large(spark):
+    """Tables are joined as if they were too large to be broadcast unasked."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("name", RUNS)
-def test_terms_of_rows_are_not_shuffled(spark, docs, name):
+def test_terms_of_rows_are_not_shuffled(spark, docs, large, name):
     pairs = corpus.term_counts(docs, "row_idx", "content").count()
     assert _moved(spark, lambda: RUNS[name](docs))[1] < pairs / 2
 
