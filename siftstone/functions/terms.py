@@ -15,7 +15,9 @@ from .hashing import Words, least_hashes, token_hashes
 from .text import STOPWORDS, raw_words
 
 _SPLIT = 128 << 20
-_ROWS = 512
+_ROWS, _WORDS = 512, 1 << 17
+#: so many terms of rows vote at a time
+_VOTES = 1 << 14
 _STOP = pa.array(STOPWORDS)
 
 
@@ -27,10 +29,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _batches(batches):
-    """(ids, row of each term, its place among the terms, the terms) of a few hundred rows at a time."""
+    """(ids, row of each term, its place among the terms, the terms) of a few hundred rows at a time, fewer where they have
+    many words; one at least."""
     for whole in batches:
-        for i in range(0, whole.num_rows, _ROWS):
-            b = whole.slice(i, _ROWS)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        j = 0
+        while j < whole.num_rows:
+            i, before = j, ends[j - 1] if j else 0
+            j = min(i + _ROWS, max(i + 1, int(np.searchsorted(ends, before + _WORDS, "right"))))
+            j = min(j, whole.num_rows)
+            b = whole.slice(i, j - i)
             lists = b.column(1)
             words = lists.flatten().dictionary_encode()
             names = words.dictionary
@@ -103,10 +111,15 @@ def fingerprints(df: DataFrame, id_col: str, field: str, hash_fn: str = "sip13")
             r, t, tf = _counted(row, at, len(names))
             out = np.zeros(len(ids), np.uint64)
             if len(r):
-                bits = np.unpackbits(_hashes(names, hash_fn).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-                begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                votes = np.add.reduceat(bits[t] * tf[:, None], begin, axis=0)
-                out[r[begin]] = np.packbits(votes > 0, axis=1).view(">u8").ravel()
+                h = _hashes(names, hash_fn).astype(">u8").view(np.uint8).reshape(-1, 8)
+                votes = np.zeros((len(ids), 64), np.int64)
+                for lo in range(0, len(r), _VOTES):
+                    own = r[lo : lo + _VOTES]
+                    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    bits = np.unpackbits(h[t[lo : lo + _VOTES]], axis=1).astype(np.int64) * 2 - 1
+                    bits *= tf[lo : lo + _VOTES, None]
+                    votes[own[begin]] += np.add.reduceat(bits, begin, axis=0)
+                out = np.packbits(votes > 0, axis=1).view(">u8").ravel().astype(np.uint64)
             yield pa.RecordBatch.from_arrays([ids, pa.array(out.view(np.int64))], [id_col, "fingerprint"])
 
     return _mapped(df, id_col, raw_words(field), run, "fingerprint long")
