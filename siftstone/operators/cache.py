@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 VERSION = "1"
 
 
-def content_hash(df: DataFrame) -> str:
-    """A digest of the rows as a multiset: sum, xor and count of row hashes; order doesn't matter, edits do."""
+def content(df: DataFrame) -> tuple[str, int]:
+    """A digest of the rows as a multiset, and their number: sum, xor and count of row hashes; order doesn't matter, edits do."""
     h = F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema])
     r = df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
-    return hashlib.sha256(f"{df.schema.simpleString()}|{r.n}|{r.s}|{r.x}".encode()).hexdigest()[:32]
+    return hashlib.sha256(f"{df.schema.simpleString()}|{r.n}|{r.s}|{r.x}".encode()).hexdigest()[:32], r.n
+
+
+def content_hash(df: DataFrame) -> str:
+    return content(df)[0]
 
 
 def args_hash(args: dict) -> str:
@@ -73,9 +77,9 @@ class Cache:
 
     def cached(self, df: DataFrame, kind: str, args: dict, make) -> DataFrame:
         """``make(df)``, kept for the same content and arguments."""
-        content, n = content_hash(df), df.count()
-        found = self.get(df.sparkSession, kind, content, args, n)
-        return self.put(make(df), kind, content, args, n) if found is None else found
+        digest, n = content(df)
+        found = self.get(df.sparkSession, kind, digest, args, n)
+        return self.put(make(df), kind, digest, args, n) if found is None else found
 
     def _size(self, *names: str) -> int:
         return self._fs.getContentSummary(self._at(*names)).getLength()
