@@ -77,7 +77,8 @@ def tags(df: DataFrame, field: str = "content", count: int = 5, id_col: str = "r
     """``df`` with _tags, empty where a row has no terms."""
     best = top_terms(df, id_col, field, count).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
     best = best.select(id_col, F.transform("t", lambda x: x["term"]).alias("_tags"))
-    return df.drop("_tags").join(best, id_col, "left").withColumn("_tags", F.coalesce("_tags", F.array().cast("array<string>")))
+    # few bytes a row are looked up by hash, so that rows with their texts need no sort
+    return df.drop("_tags").join(best.hint("shuffle_hash"), id_col, "left").withColumn("_tags", F.coalesce("_tags", F.array().cast("array<string>")))
 
 
 def fingerprints(df: DataFrame, field: str = "content", weighted: bool = False, id_col: str = "row_idx", hash_fn: str = "sip13") -> DataFrame:
